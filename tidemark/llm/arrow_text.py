@@ -103,15 +103,15 @@ class Words:
 
     ``buf``: the texts, a line feed after each; ``bounds``: where each begins (and
     the end); ``start`` and ``end``: of each word; ``first``: index of each text's
-    first word (and the number of words).
+    first word (and the number of words).  ``separators`` must hold the line feed.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, separators: np.ndarray = SPACES):
         joined = b"\n".join(texts) + b"\n"
         buf = np.frombuffer(joined, np.uint8)
         self.buf = LOWER[buf] if lower else buf
         self.bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-        self.inside = ~SPACES[self.buf]
+        self.inside = ~separators[self.buf]
         edge = np.flatnonzero(np.diff(self.inside.view(np.int8), prepend=np.int8(0)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.bounds)

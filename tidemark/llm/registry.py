@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import bpe, near, pii, quality
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": quality.op10_quality_rules}
+    return {
+        "op3_ngram_join": near.op3_ngram_join,
+        "op6_pii": pii.op6_pii,
+        "op8_bpe": bpe.op8_bpe,
+        "op10_quality_rules": quality.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
