@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, near, pii, quality
+from tidemark.llm import bpe, chat, decontaminate, near, pii, quality
 
 
 def queries() -> dict:
     return {
+        "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_ngram_join": near.op3_ngram_join,
         "op6_pii": pii.op6_pii,
+        "op7_decontamination": decontaminate.op7_decontamination,
         "op8_bpe": bpe.op8_bpe,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": chat.ORACLE}
