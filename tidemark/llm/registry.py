@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, near, pii, quality
+from tidemark.llm import bpe, chat, decontaminate, near, pii, quality, shard
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": shard.op1_sharding,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_ngram_join": near.op3_ngram_join,
         "op6_pii": pii.op6_pii,
