@@ -168,9 +168,9 @@ def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with rep_id, class_id and n_links."""
+    """``docs`` with rep_id, class_id, n_links and __class (the class as a hash, never null)."""
     bands, rows = bands_for(threshold, recall)
-    results = ("__node", "rep_id", "class_id", "n_links")
+    results = ("__node", "__class", "rep_id", "class_id", "n_links")
     src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results])
     src = src.withColumn("__node", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
 
@@ -226,10 +226,19 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     nodes = ids.join(links, ids["__node"] == links["node"], "left").drop("node").join(roots, ids["__node"] == roots["node"], "left")
     nodes = save(nodes.select("__node", "rep_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "__node").alias("root")))
     least = nodes.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    by_node = nodes.join(least, "root").select("__node", "rep_id", "class_id", "n_links")
+    by_node = nodes.join(least, "root").select("__node", F.col("root").alias("__class"), "rep_id", "class_id", "n_links")
     return src.join(by_node, "__node").drop("__node")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each class, with the columns of ``docs``: of the rows with the least doc_id the one with the least text (and of equal ones any)."""
+    names = docs.columns
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
+    marked = classes(own).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("rep_id").eqNullSafe(F.col("class_id")))
+    # What is left is one row for a class unless rows repeat; classes without any doc_id are told apart by their text.
+    return marked.dropDuplicates(["class_id", "__class"]).select(*[F.col(f"__own{i}").alias(c) for i, c in enumerate(names)])
+
+
 def _candidate_bits(nodes: DataFrame) -> np.ndarray:
     """A bitmap by the first bytes of the node: at most 2**FILTER_BITS bits, whatever the number of nodes."""
     n = max(1, nodes.count())
