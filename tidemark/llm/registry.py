@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, licences, near, pii, quality, shard
+from tidemark.llm import bpe, chat, decontaminate, licences, near, pii, quality, repeats, shard
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_ngram_join": near.op3_ngram_join,
         "op4_license_scan": licences.op4_license_scan,
+        "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
         "op6_pii": pii.op6_pii,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_bpe": bpe.op8_bpe,
