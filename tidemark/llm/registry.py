@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, licences, near, pii, quality, repeats, shard
+from tidemark.llm import bpe, chat, decontaminate, licences, lm, near, pii, quality, repeats, shard
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_pii": pii.op6_pii,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_bpe": bpe.op8_bpe,
+        "op9_lm_scoring": lm.op9_lm_scoring,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
