@@ -63,7 +63,7 @@ def map_texts(df: DataFrame, make: Callable[[], Routine], fields: list[T.StructF
             texts = texts_of(batch.column(at))
             for a, b in slices(texts):
                 got = routine(texts[a:b])
-                cols = [pa.array(got[f.name], type=f.type, from_pandas=False) for f in own]
+                cols = [x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type, from_pandas=False) for f in own]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *cols], schema=out_schema)
 
     return src.mapInArrow(run, schema)

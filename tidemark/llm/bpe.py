@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.arrow_text import map_texts
 
-#: Chunks whose ids a task remembers; it starts anew beyond that.
-REMEMBERED = 200_000
+#: Chunks, and words, whose ids a task remembers; it starts anew beyond that.
+REMEMBERED = 400_000
 #: Stands for the end-of-word mark inside this module.
 END = "\U0010ffff"
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
@@ -98,6 +99,21 @@ class Vocabulary:
             return cls(json.load(f))
 
 
+class Remembered(dict):
+    """Ids of strings as bytes of 32-bit numbers; filled on demand and emptied at REMEMBERED entries."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(text) < 100:
+            self[text] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -109,7 +125,9 @@ class Encoder:
         self.words = regex.compile(vocabulary.pattern, regex.V1)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) + ")") if vocabulary.specials else None
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, array]] = {}
+        # Words apart from the runs they occur in: most runs that are new differ in punctuation only.
+        word = Remembered(lambda w: array("i", self.word(w)).tobytes()).__getitem__
+        self.known = Remembered(lambda chunk: word(chunk) if chunk.isalpha() and chunk.isascii() else b"".join(map(word, self.words.findall(chunk))))
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may follow token a inside a word."""
@@ -164,18 +182,6 @@ class Encoder:
                 raise ValueError(f"no tokens for {text!r}")
         return [i for _, _, i in taken]
 
-    def chunk(self, text: str) -> tuple[str, array]:
-        """Ids of a run without spaces, as decimal text and as numbers."""
-        got = self.known.get(text)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = array("i", [i for w in self.words.findall(text) for i in self.word(w)])
-            got = " ".join(map(str, ids)), ids
-            if len(text) < 100:
-                self.known[text] = got
-        return got
-
     def _plain(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         if _ODD_SPACES.search(text):
@@ -183,19 +189,15 @@ class Encoder:
             return [x for c in chunks if c for x in [c.replace("Σ", "σ").lower()]]
         return text.replace("Σ", "σ").lower().split()
 
-    def encode(self, text: str) -> array:
-        out = array("i")
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as bytes of 32-bit numbers."""
+        known = self.known.__getitem__
         if self.special is None or "<|" not in text:
-            for c in self._plain(text):
-                out += self.chunk(c)[1]
-            return out
+            return b"".join(map(known, self._plain(text)))
+        out = []
         for k, part in enumerate(self.special.split(text)):
-            if k % 2:
-                out.append(self.v.specials[part])
-            else:
-                for c in self._plain(part):
-                    out += self.chunk(c)[1]
-        return out
+            out += [array("i", [self.v.specials[part]]).tobytes()] if k % 2 else map(known, self._plain(part))
+        return b"".join(out)
 
 
 class Decoder:
@@ -225,8 +227,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value) if decoded else None
 
         def routine(texts):
-            ids = [np.frombuffer(encoder.encode(t.decode("utf-8", "replace")), np.int32) if t else np.zeros(0, np.int32) for t in texts]
-            return {"ids": ids} | ({"decoded": [decoder.decode(i).decode() for i in ids]} if decoded else {})
+            ids = [encoder.encode(t.decode("utf-8", "replace")) if t else b"" for t in texts]
+            at = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+            out = {"ids": pa.ListArray.from_arrays(at, np.frombuffer(b"".join(ids), np.int32))}
+            return out | ({"decoded": [decoder.decode(np.frombuffer(i, np.int32)) for i in ids]} if decoded else {})
 
         return routine
 
