@@ -7,6 +7,8 @@ of the label map, since maps cannot be compared or joined on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,21 @@ DAILY = "metric string, series_key string, labels map<string,string>, bucket lon
 
 def series_key(labels: Column) -> Column:
     """Canonical, lossless string of a label map; key order does not matter."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(labels, F.create_map().cast(LABELS))))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(F.coalesce(labels, F.create_map().cast(LABELS))))))
+
+
+def labels_of(key: Column | str = "series_key") -> Column:
+    """The label map of a canonical string.  Aggregates group by the string alone, so that they can hash, and get the map back afterwards."""
+    return F.from_json(key, LABELS)
 
 
 def label_map(**columns: Column) -> Column:
-    """Map of the labels that are not null (an absent label is an absent key)."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), c.cast("string").alias("value")) for k, c in columns.items()])
-    return F.map_from_entries(F.filter(pairs, lambda p: p.value.isNotNull()))
+    """Map of the labels that are not null (an absent label is an absent key), in order of keys."""
+    ordered = [(k, columns[k].cast("string")) for k in sorted(columns)]
+    whole = F.create_map(*[x for k, c in ordered for x in (F.lit(k), c)])
+    # Only rows with an absent label take the slower way.
+    every = reduce(lambda a, b: a & b, [c.isNotNull() for _, c in ordered])
+    return F.when(every, whole).otherwise(F.map_filter(whole, lambda _, v: v.isNotNull()))
 
 
 def seconds(ts: Column) -> Column:
@@ -33,11 +43,12 @@ def seconds(ts: Column) -> Column:
     return F.unix_timestamp(ts.cast("timestamp")).cast("long")
 
 
-def points(df: DataFrame, metric: Column, labels: Column, ts: Column, value: Column, seq: Column) -> DataFrame:
-    """Numeric points; values that are no finite number are left out."""
+def points(df: DataFrame, metric: Column, labels: Column, ts: Column, value: Column, seq: Column, ordered: bool = False) -> DataFrame:
+    """Numeric points; values that are no finite number are left out.  ``ordered``: the maps' keys are in order, as those of ``label_map``."""
     out = df.select(metric.cast("string").alias("metric"), labels.alias("labels"), ts.cast("long").alias("ts"), value.cast("double").alias("value"), seq.cast("long").alias("seq"))
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
-    return out.where(finite).select("metric", "labels", series_key(F.col("labels")).alias("series_key"), "ts", "value", "seq")
+    key = F.to_json("labels") if ordered else series_key(F.col("labels"))
+    return out.where(finite).select("metric", "labels", key.alias("series_key"), "ts", "value", "seq")
 
 
 def text_points(df: DataFrame, metric: Column, labels: Column, ts: Column, value: Column, seq: Column) -> DataFrame:
@@ -48,7 +59,7 @@ def text_points(df: DataFrame, metric: Column, labels: Column, ts: Column, value
 def from_events(events: DataFrame) -> DataFrame:
     """event_<type>{user} with the event's value."""
     c = F.col
-    return points(events, F.concat(F.lit("event_"), c("event_type")), label_map(user=c("user_id")), seconds(c("ts")), c("value"), c("event_id"))
+    return points(events, F.concat(F.lit("event_"), c("event_type")), label_map(user=c("user_id")), seconds(c("ts")), c("value"), c("event_id"), ordered=True)
 
 
 def events_text(events: DataFrame) -> DataFrame:
@@ -60,7 +71,7 @@ def events_text(events: DataFrame) -> DataFrame:
 def from_orders(orders: DataFrame) -> DataFrame:
     """order_total{status, priority} with the order's total."""
     c = F.col
-    return points(orders, F.lit("order_total"), label_map(status=c("o_orderstatus"), priority=c("o_orderpriority")), seconds(c("o_orderdate")), c("o_totalprice"), c("o_orderkey"))
+    return points(orders, F.lit("order_total"), label_map(status=c("o_orderstatus"), priority=c("o_orderpriority")), seconds(c("o_orderdate")), c("o_totalprice"), c("o_orderkey"), ordered=True)
 
 
 def from_lineitem(items: DataFrame) -> DataFrame:
@@ -68,4 +79,4 @@ def from_lineitem(items: DataFrame) -> DataFrame:
     c = F.col
     rows = items.select("*", F.expr("stack(3, 'qty', l_quantity, 'price', l_extendedprice, 'discount', l_discount) as (__metric, __value)"))
     supp = F.when(c("l_suppkey") % 10 != 0, c("l_suppkey"))
-    return points(rows, c("__metric"), label_map(flag=c("l_returnflag"), status=c("l_linestatus"), supp=supp), seconds(c("l_shipdate")), c("__value"), c("l_orderkey") * 10 + c("l_linenumber"))
+    return points(rows, c("__metric"), label_map(flag=c("l_returnflag"), status=c("l_linestatus"), supp=supp), seconds(c("l_shipdate")), c("__value"), c("l_orderkey") * 10 + c("l_linenumber"), ordered=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.model import labels_of
+
 AGGREGATES = ("avg", "min", "max", "sum", "count", "rate", "last", "first")
 TEXT_AGGREGATES = ("last", "first", "count")
 SERIES = ["metric", "series_key"]
@@ -39,7 +41,7 @@ def bucketed(points: DataFrame, width: int, name: str) -> DataFrame:
         agg = F.coalesce(F.sum(F.when(good, F.col("dv"))) / F.sum(F.when(good, F.col("dt"))), F.lit(0.0))
     else:
         agg = _value(name)
-    return rows.groupBy(*keys).agg(F.any_value("labels").alias("labels"), agg.alias("value")).select("metric", "series_key", "labels", "bucket", "value")
+    return rows.groupBy(*keys).agg(agg.alias("value")).select("metric", "series_key", labels_of().alias("labels"), "bucket", "value")
 
 
 def merged(series: DataFrame, keys: list[Column], how: str | None = "max") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.matchers import Filter, Matcher, label_filter, metric_filter
+from tidemark.model import labels_of
 
 METADATA_TYPES = ("gauge", "counter", "histogram")
 METADATA = "metric string, metric_type string, unit string, description string"
@@ -21,7 +22,7 @@ def list_metrics(points: DataFrame) -> DataFrame:
 def list_series(points: DataFrame, metric: str | None = None) -> DataFrame:
     """(metric, series_key, labels) of every series."""
     rows = points if metric is None else points.where(F.col("metric") == metric)
-    return rows.groupBy("metric", "series_key").agg(F.any_value("labels").alias("labels")).orderBy("metric", "series_key")
+    return rows.select("metric", "series_key").distinct().select("metric", "series_key", labels_of().alias("labels")).orderBy("metric", "series_key")
 
 
 def label_values(points: DataFrame, key: str, metric: str | None = None) -> DataFrame:

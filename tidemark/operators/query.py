@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.duration import bucket_seconds
 from tidemark.functions.matchers import Filter, Matcher, exact, label_filter, metric_filter
 from tidemark.functions.transforms import Transform
+from tidemark.model import labels_of
 from tidemark.operators.aggregates import SERIES, TEXT_AGGREGATES, bucketed, merged
 
 MAX_TS = (1 << 62) - 1
@@ -72,7 +73,8 @@ def top_n(series: DataFrame, n: int, order: Column | None = None, keys: Sequence
 def latest(points: DataFrame, metric: str | Matcher | list[str], labels: Filter | None = None, at_most: int | None = None) -> DataFrame:
     """Last point of each matching series; of equal times the one that arrived last."""
     rows = select(points, metric, labels, -MAX_TS, MAX_TS if at_most is None else at_most)
-    return rows.groupBy(*SERIES).agg(F.any_value("labels").alias("labels"), F.max("ts").alias("ts"), F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    last = rows.groupBy(*SERIES).agg(F.max("ts").alias("ts"), F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    return last.select(*SERIES, labels_of().alias("labels"), "ts", "value")
 
 
 def latest_exact(points: DataFrame, metric: str, labels: Mapping[str, str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.model import labels_of
 from tidemark.operators.aggregates import bucket
 
 DAY = 86400
@@ -17,8 +18,8 @@ def daily_rows(points: DataFrame, watermark: int, now: int) -> DataFrame:
     # ``last``: of equal times the one that arrived first.
     last = F.max_by("value", F.struct(F.col("ts"), (-F.col("seq")).alias("early")))
     return rows.groupBy("metric", "series_key", "bucket").agg(
-        F.any_value("labels").alias("labels"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"), F.sum("value").alias("sum"), last.alias("last")
-    ).select("metric", "series_key", "labels", "bucket", "avg", "min", "max", "count", "sum", "last")
+        F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"), F.sum("value").alias("sum"), last.alias("last")
+    ).select("metric", "series_key", labels_of().alias("labels"), "bucket", "avg", "min", "max", "count", "sum", "last")
 
 
 def next_watermark(watermark: int, now: int) -> int:
@@ -70,4 +71,4 @@ def tier_or_raw(points: DataFrame, tier: DataFrame, name: str, width: int, start
         return bucketed(points.where(F.col("ts").between(start, end)), width, name)
     agg = {"min": F.min("min"), "max": F.max("max"), "sum": F.sum("sum"), "count": F.sum("count")}[name]
     rows = tier.where(F.col("bucket").between(start, end)).withColumn("__b", bucket(width, "bucket"))
-    return rows.groupBy("metric", "series_key", F.col("__b").alias("bucket")).agg(F.any_value("labels").alias("labels"), agg.alias("value")).select("metric", "series_key", "labels", "bucket", "value")
+    return rows.groupBy("metric", "series_key", F.col("__b").alias("bucket")).agg(agg.alias("value")).select("metric", "series_key", labels_of().alias("labels"), "bucket", "value")
