@@ -51,7 +51,7 @@ def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, in
     """(bands, rows): the highest bands that reach ``recall`` at ``threshold`` with at most ``most`` hash functions."""
     best = None
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= most:
             best = (bands, rows)
     if best is None:
