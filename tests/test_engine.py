@@ -393,3 +393,39 @@ def test_stream_buckets_and_alerts(spark, tmp_path):
     q = stream_alerts.events(ticks).writeStream.format("memory").queryName("ev").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["event"], r["at"]) for r in spark.table("ev").collect()] == [("fire", 360)]
+
+
+def test_api(spark, tmp_path):
+    from tidemark.plans.api import Api
+
+    now = 1_700_001_000
+    api = Api(Store(spark, str(tmp_path / "api")), lambda: now)
+    assert api.handle("POST", "/api/v1/import", body='{"metric":{"__name__":"cpu","host":"a"},"values":[1,3],"timestamps":[1700000000,1700000060]}')[0] == 204
+    status, _, body = api.handle("POST", "/write", body="cpu,host=b value=9 1700000000\nbad\n")
+    assert status == 200 and json.loads(body)["errors"] == 1
+    assert api.handle("POST", "/api/v1/import/prometheus", body='up{job="x"} 1 1700000000000\n')[0] == 204
+    assert json.loads(api.handle("GET", "/health")[2])["points"] == 4
+    assert json.loads(api.handle("GET", "/api/v1/query", {"metric": "cpu", "host": "a"})[2])["value"] == 3.0
+    assert len(json.loads(api.handle("GET", "/api/v1/query_range", {"metric": "cpu", "start": "1700000000", "end": "1700000100"})[2])["series"]) == 2
+    assert json.loads(api.handle("GET", "/api/v1/label/__name__/values")[2])["data"] == ["cpu", "up"]
+    assert json.loads(api.handle("GET", "/api/v1/labels")[2])["data"] == ["__name__", "host", "job"]
+    got = json.loads(api.handle("GET", "/prometheus/api/v1/query_range", {"query": "max(cpu) by (host)", "start": "1700000000", "end": "1700000100", "step": "600"})[2])
+    assert [r["metric"] for r in got["data"]["result"]] == [{"host": "a"}, {"host": "b"}]
+    assert json.loads(api.handle("GET", "/prometheus/api/v1/series", {"match[]": "cpu{host!='a'}"})[2])["data"] == [{"host": "b", "__name__": "cpu"}]
+    assert api.handle("GET", "/prometheus/api/v1/query", {"query": ""})[0] == 400
+    assert api.handle("GET", "/api/v1/query_range", {"metric": "cpu", "step": "x"})[0] == 400
+    assert '"timestamps":[1700000000000,1700000060000]' in api.handle("GET", "/api/v1/export", {"metric": "cpu", "host": "a", "start": "0"})[2]
+    assert api.handle("GET", "/chart", {"metric": "cpu", "start": "0"})[2].startswith("<svg") and api.handle("GET", "/nope")[0] == 404
+    assert "tidemark_total_points 4" in api.handle("GET", "/metrics")[2]
+
+
+def test_own_statistics_and_scrape_source(spark, tmp_path):
+    from tidemark.sources import scrape_source
+    from tidemark.streaming import schedule
+
+    got = {r["metric"]: r["value"] for r in schedule.own_statistics(spark, 5, {"writes": 30.0}, {"writes": 10.0}, 10.0).collect()}
+    assert got == {"tidemark_writes_total": 30.0, "tidemark_writes_per_second": 2.0}
+    (tmp_path / "m").write_text("a 1\nb 2\n")
+    reader = scrape_source.Reader({"targets": json.dumps([f"file://{tmp_path}/m", "file:///nowhere"])})
+    rows, after = reader.read(reader.initialOffset())
+    assert [r[4] for r in rows] == ["a 1", "b 2", None] and after == {"poll": 1}
