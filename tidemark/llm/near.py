@@ -254,3 +254,18 @@ def _candidate_bits(nodes: DataFrame) -> np.ndarray:
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id", "rep_id", "n_links")
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep FROM documents GROUP BY 1),
+w AS (SELECT rep, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM t),
+s AS (SELECT DISTINCT rep, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rep, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.rep = x JOIN n b ON b.rep = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+r(x, y) AS (SELECT rep, rep FROM t UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+classes AS (SELECT x, min(y) AS class_id FROM r GROUP BY 1),
+links AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT d.doc_id, class_id, rep AS rep_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links
+FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN classes ON classes.x = rep LEFT JOIN links ON links.x = rep
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.ORACLE}
+    return {"op2_chat_formatting": chat.ORACLE, "op3_ngram_join": near.ORACLE}
