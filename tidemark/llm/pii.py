@@ -163,5 +163,6 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     joined = lambda kept: F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("pii_spans", lambda s: s.kind.isin(*BASE))
-    counts = [F.size(F.filter("pii_spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s.kind == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in BASE]
     return docs.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
