@@ -152,6 +152,20 @@ def test_every_planted_item_is_found(spark, small):
     assert want and want <= got
 
 
+def planted(item, places, seed):
+    words = [w if k not in places else f"zzz{k}" for k, w in enumerate(item.split())]
+    return " ".join([prose(seed, 20), *words, prose(seed + 1, 20)]).encode()
+
+
+def test_leaks_of_whole_items_by_share():
+    """Few substitutions in a short item leave no stretch of LEAST equal words, but most of the item in place."""
+    item = prose(80, 16)
+    index = decontaminate.Index([item.encode()])
+    for places, want in (({1, 6, 11}, (0, 13, 16, 20)), ({2, 7, 12}, (0, 13, 16, 20)), ({0, 5}, (0, 14, 15, 21))):
+        assert index.leaks([planted(item, places, 81)]) == [[want]]
+    assert index.leaks([planted(item, {1, 3, 5, 7, 9, 11}, 81)]) == [[]]
+
+
 # -- repeated passages
 
 

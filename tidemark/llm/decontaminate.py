@@ -4,10 +4,11 @@ Fixed masks of ``SPAN`` words keep some positions and ignore the others, so a
 window still hashes alike when words at ignored positions were substituted.
 Hashes of all windows of the benchmark form an index; hashes of all windows of
 the documents are joined with it.  Around each hit the document is aligned with
-the item word by word (no gaps) and the best-scoring stretch counts: equal words
-add one, different ones take two off.  A document leaks an item if the stretch has
-at least ``LEAST`` equal words (all of the item's words if it has fewer).  Words
-are lower-cased and cut at everything that is neither letter nor digit.
+the item word by word (no gaps).  A document leaks an item if at least ``SHARE`` of
+the item's words are equal in place, which is then reported from the first equal word
+to the last; or else if the best-scoring stretch has at least ``LEAST`` equal words,
+where equal words add one and different ones take two off.  Words are lower-cased and
+cut at everything that is neither letter nor digit.
 
 The index is sent to the tasks only in blocks of at most ``INDEX_WORDS`` words of
 the benchmark; a larger benchmark takes several passes over the documents.
@@ -31,10 +32,14 @@ from tidemark.llm.arrow_text import Words, map_texts, mix
 from tidemark.llm.near import NOT_WORD
 
 SPAN, SHORTEST, LEAST = 12, 8, 12
+#: Equal words, of so many words of the item, that are a leak in any case.
+SHARE = (2, 3)
 #: Masks of SPAN words: 1 is compared, 0 is ignored.
 MASKS = ("110110110111", "111011011001", "100111101011")
 INDEX_WORDS = 5_000_000
 _FILTER_BITS = 22
+#: Pairs of words that are compared at once.
+_PAIRS = 1 << 20
 
 
 def _hashes(words: np.ndarray, mask: str, seed: int) -> np.ndarray:
@@ -60,6 +65,7 @@ class Index:
     def __init__(self, texts: Sequence[bytes]):
         w = Words(list(texts), lower=True, separators=NOT_WORD)
         words = w.hashes()
+        self.words, self.first = words, w.first
         self.items = [words[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         keys, items, places = [], [], []
         lengths = set()
@@ -96,24 +102,51 @@ class Index:
             n = b - a
             entry = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
             found.append(np.stack([np.repeat(doc[at], n), self.item[entry], np.repeat(at, n) - self.place[entry]], axis=1))
-        lines = np.unique(np.concatenate(found), axis=0)
+        lines = self._likely(words, w.first, np.concatenate(found))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for d, i, shift in lines.tolist():
             item, low, high = self.items[i], int(w.first[d]), int(w.first[d + 1])
             a, b = max(shift, low), min(shift + len(item), high)
             equal = words[a:b] == item[a - shift : b - shift]
-            gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-            floor = np.minimum.accumulate(gain)
-            end = int(np.argmax(gain - floor))
-            start = int(np.flatnonzero(gain[: end + 1] == floor[end])[-1])
-            same = int(equal[start:end].sum())
-            if same >= min(LEAST, len(item)) and (d, i) not in best or same > best.get((d, i), (1 << 60,))[0]:
+            same = int(equal.sum())
+            if same * SHARE[1] >= len(item) * SHARE[0]:
+                at = np.flatnonzero(equal)
+                start, end = int(at[0]), int(at[-1]) + 1
+            else:
+                gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
+                floor = np.minimum.accumulate(gain)
+                end = int(np.argmax(gain - floor))
+                start = int(np.flatnonzero(gain[: end + 1] == floor[end])[-1])
+                same = int(equal[start:end].sum())
+                if same < LEAST:
+                    continue
+            if same > best.get((d, i), (0,))[0]:
                 best[d, i] = (same, end - start, a + start - low)
         for (d, i), got in sorted(best.items()):
             out[d].append((i, *got))
         return out
 
 
+    def _likely(self, words: np.ndarray, first: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """The different (document, item, shift) whose overlap has as many equal words as a leak needs."""
+        lines = lines[np.lexsort(lines.T[::-1])]
+        lines = lines[np.append(True, (lines[1:] != lines[:-1]).any(axis=1))[: len(lines)]]
+        d, i, shift = lines.T
+        size = np.diff(self.first)[i]
+        a, b = np.maximum(shift, first[d]), np.minimum(shift + size, first[d + 1])
+        total = np.concatenate([[0], np.cumsum(b - a)])
+        same = np.zeros(len(lines), np.int64)
+        k = 0
+        while k < len(lines):
+            m = max(k + 1, int(np.searchsorted(total, total[k] + _PAIRS, "right")) - 1)
+            n = (b - a)[k:m]
+            at = np.arange(total[k], total[m]) + np.repeat(a[k:m] - total[k:m], n)
+            equal = words[at] == self.words[at + np.repeat(self.first[i[k:m]] - shift[k:m], n)]
+            same[k:m] = np.add.reduceat(equal, total[k:m] - total[k], dtype=np.int64)
+            k = m
+        return lines[(same >= LEAST) | (same * SHARE[1] >= size * SHARE[0])]
+
+
 LEAKS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "equal_words", "stretch_words", "item_words", "start_word")]))
 
 
