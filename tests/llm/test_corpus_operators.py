@@ -1,6 +1,7 @@
 """Operators that compare documents with each other or with other tables."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -166,6 +167,35 @@ def test_leaks_of_whole_items_by_share():
     assert index.leaks([planted(item, {1, 3, 5, 7, 9, 11}, 81)]) == [[]]
 
 
+def brute_leaks(items, text):
+    """Items of which 2/3 of the words are in the text at one distance."""
+    words, out = text.decode().split(), set()
+    for i, item in enumerate(t.split() for t in items):
+        if any(sum(a == b for a, b in zip(item[max(0, -s) :], words[max(0, s) :], strict=False)) * 3 >= len(item) * 2 for s in range(-len(item), len(words))):
+            out.add(i)
+    return out
+
+
+def test_leaks_with_substitutions_against_brute_force():
+    rng = random.Random(12)
+    items = [prose(1000 + n, n) for n in range(12, 25)]
+    index, texts = decontaminate.Index([t.encode() for t in items]), []
+    for t in items:
+        n = t.count(" ") + 1
+        texts += [planted(t, {k for k in range(n) if rng.random() < rate}, rng.randrange(10**6)) for rate in (0.1, 0.2, 0.3) for _ in range(12)]
+        texts += [planted(t, set(range(first, n, step)), 7) for step in (3, 4) for first in range(step)]
+    want = [brute_leaks(items, t) for t in texts]
+    got = [{i for i, *_ in found} for found in index.leaks(texts)]
+    assert sum(map(len, want)) > 300
+    assert all(w <= g for w, g in zip(want, got, strict=True))
+
+
+def test_masks_cover_all_choices_of_equal_words():
+    for n, equal in ((9, 6), (12, 8)):
+        for places in itertools.combinations(range(n), equal):
+            assert any(all(a + k in places for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for a in range(n - len(m) + 1))
+
+
 # -- repeated passages
 
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks of ``SPAN`` words keep some positions and ignore the others, so a
-window still hashes alike when words at ignored positions were substituted.
+Fixed masks keep some positions of a window and ignore the others, so it still hashes
+alike when words at ignored positions were substituted.  Any nine words in a row of
+which six are equal, or twelve of which eight are, hold such a window.
 Hashes of all windows of the benchmark form an index; hashes of all windows of
 the documents are joined with it.  Around each hit the document is aligned with
 the item word by word (no gaps).  A document leaks an item if at least ``SHARE`` of
@@ -34,8 +35,8 @@ from tidemark.llm.near import NOT_WORD
 SPAN, SHORTEST, LEAST = 12, 8, 12
 #: Equal words, of so many words of the item, that are a leak in any case.
 SHARE = (2, 3)
-#: Masks of SPAN words: 1 is compared, 0 is ignored.
-MASKS = ("110110110111", "111011011001", "100111101011")
+#: For items of SPAN words: 1 is compared, 0 is ignored.  They cover all choices of 6 equal words of 9, and of 8 of 12.
+MASKS = ("1111", "11011", "1010101", "1100011", "11000011", "1101001")
 INDEX_WORDS = 5_000_000
 _FILTER_BITS = 22
 #: Pairs of words that are compared at once.
