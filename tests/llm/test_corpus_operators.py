@@ -190,6 +190,15 @@ def test_leaks_with_substitutions_against_brute_force():
     assert all(w <= g for w, g in zip(want, got, strict=True))
 
 
+def test_leaks_of_short_items():
+    """Items below 12 words are found with changed words; two of eight, three of nine to eleven."""
+    for n in range(decontaminate.SHORTEST, 12):
+        index = decontaminate.Index([prose(2000 + n, n).encode()])
+        texts = [planted(prose(2000 + n, n), set(places), 9) for places in itertools.combinations(range(n), n // 3)]
+        assert all([i for i, *_ in found] == [0] for found in index.leaks(texts))
+        assert index.leaks([planted(prose(2000 + n, n), set(range(n // 3 + 1)), 9)]) == [[]]
+
+
 def test_masks_cover_all_choices_of_equal_words():
     for n, equal in ((9, 6), (12, 8)):
         for places in itertools.combinations(range(n), equal):

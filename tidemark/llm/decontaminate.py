@@ -32,11 +32,12 @@ from pyspark.sql import types as T
 from tidemark.llm.arrow_text import Words, map_texts, mix
 from tidemark.llm.near import NOT_WORD
 
-SPAN, SHORTEST, LEAST = 12, 8, 12
+SHORTEST, LEAST = 8, 12
 #: Equal words, of so many words of the item, that are a leak in any case.
 SHARE = (2, 3)
-#: For items of SPAN words: 1 is compared, 0 is ignored.  They cover all choices of 6 equal words of 9, and of 8 of 12.
+#: 1 is compared, 0 is ignored.  They cover all choices of 6 equal words of 9, and of 8 of 12.
 MASKS = ("1111", "11011", "1010101", "1100011", "11000011", "1101001")
+SEEDS = [(m, k + 1) for k, m in enumerate(MASKS)]
 INDEX_WORDS = 5_000_000
 _FILTER_BITS = 22
 #: Pairs of words that are compared at once.
@@ -55,11 +56,6 @@ def _hashes(words: np.ndarray, mask: str, seed: int) -> np.ndarray:
     return mix(out)
 
 
-def _whole(n: int) -> tuple[str, int]:
-    """Mask and seed for items of n words, shorter than SPAN."""
-    return "1" * n, 1000 + n
-
-
 class Index:
     """Masked window hashes of benchmark items, sorted, with item and position."""
 
@@ -69,11 +65,8 @@ class Index:
         self.words, self.first = words, w.first
         self.items = [words[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         keys, items, places = [], [], []
-        lengths = set()
         for i, x in enumerate(self.items):
-            seeds = [(m, k + 1) for k, m in enumerate(MASKS)] if len(x) >= SPAN else [_whole(len(x))] if len(x) >= SHORTEST else []
-            lengths |= {len(x)} if SHORTEST <= len(x) < SPAN else set()
-            for mask, seed in seeds:
+            for mask, seed in SEEDS if len(x) >= SHORTEST else []:
                 h = _hashes(x, mask, seed)
                 keys.append(h)
                 items.append(np.full(len(h), i))
@@ -83,7 +76,6 @@ class Index:
         self.key = key[order]
         self.item = np.concatenate(items)[order] if keys else np.zeros(0, np.int64)
         self.place = np.concatenate(places)[order] if keys else np.zeros(0, np.int64)
-        self.seeds = [(m, k + 1) for k, m in enumerate(MASKS)] + [_whole(n) for n in sorted(lengths)]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -95,7 +87,7 @@ class Index:
         w = Words(texts, lower=True, separators=NOT_WORD)
         words, doc = w.hashes(), w.doc_of_words()
         found = []
-        for mask, seed in self.seeds:
+        for mask, seed in SEEDS:
             h = _hashes(words, mask, seed)
             at = np.flatnonzero(self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             at = at[doc[at] == doc[at + len(mask) - 1]]
