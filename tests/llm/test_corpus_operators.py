@@ -387,3 +387,55 @@ def test_lm_learns_order(docs_of):
     mixed = [(10_000 + k, " ".join(random.Random(k).sample(dict(rows)[k].split(), 120))) for k in held]
     got = {r["doc_id"]: r["score"] for r in lm.score(docs_of(rows + [m for m in mixed])).collect()}
     assert np.mean([got[k] - got[10_000 + k] for k in held]) > 5
+
+
+def test_lm_gradient_over_ids():
+    rng = np.random.default_rng(3)
+    codes = lm.Codes(rng.integers(0, 50, 300))
+    rows = codes.rows()
+    model = lm.Attention(None, codes, rows + (rng.standard_normal(rows.shape) * 0.3).astype(np.float32))
+    ids, wanted = rng.integers(0, 300, (4, lm.WIDTH)), rng.integers(0, 300, (4, lm.WIDTH))
+    c, t, live = codes.which[ids], codes.which[wanted], rng.random((4, lm.WIDTH)) < 0.8
+    _, flat, met, slope, often = model.gradients(c, t, live, ids, wanted)
+    assert len(set(met)) == len(met) and often.sum() == live.sum() + np.diff(codes.first)[wanted[live]].sum()
+    pick = [(int(met[i]), j) for i in range(0, len(met), 17) for j in range(lm.DIM if met[i] <= 300 else lm.DIM + 1)]
+    got = {int(r): g for r, g in zip(met, slope, strict=True)}
+    for r, j in pick[::9]:
+        loss = []
+        for by in (1e-2, -1e-2):
+            other = model.rows.copy()
+            other[r, j] += by
+            loss.append(lm.Attention(model.flat, codes, other).gradients(c, t, live, ids, wanted)[0])
+        assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(got[r][j], rel=0.05, abs=2e-4)
+
+
+def test_lm_probabilities_of_all_ids_add_up():
+    rng = np.random.default_rng(4)
+    codes = lm.Codes(rng.integers(0, 1000, 500))
+    rows = codes.rows()
+    model = lm.Attention(None, codes, rows + (rng.standard_normal(rows.shape) * 0.3).astype(np.float32))
+    h = np.repeat(model.hidden(codes.which[:16][None], np.arange(16)[None])[0][0, 9:10], 500, axis=0)
+    p = np.exp(model.log_probability(h, codes.which) + model.inside(h, np.arange(500))[0])
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def lm_row(docs):
+    """Block of training documents given as subword ids."""
+    n = np.array([len(d) for d in docs], np.int32)
+    return {"n": n.tobytes(), "tokens": np.concatenate(docs).astype(np.int32).tobytes(), "subs": np.arange(300).astype(np.uint16).tobytes(), "sub_n": np.ones(300, np.int32).tobytes(), "train": np.ones(len(n), bool).tobytes()}
+
+
+def test_lm_tells_ids_of_one_class_apart():
+    """Of texts with the same sequence of classes and the same shares, the one whose words follow each other as in training is likelier."""
+    rng = np.random.default_rng(6)
+    codes = lm.Codes(np.full(301, 100))
+    follows = rng.permutation(300)
+    text = lambda: np.stack([x := rng.integers(0, 300, 100), follows[x]], axis=1).ravel()
+    row, model = lm_row([text() for _ in range(400)]), lm.Attention(codes=codes)
+    moments, met, step = [np.zeros_like(model.flat), np.zeros_like(model.flat)], np.zeros((len(model.rows), 2), np.float32), [0]
+    for number in range(4 * lm.SHARE):
+        lm.train_block(model, row, number, moments, met, step, 0.02)
+    good = [text() for _ in range(20)]
+    bad = [np.where(np.arange(200) % 2, [rng.choice(np.flatnonzero(codes.which[:-1] == codes.which[i])) for i in d], d) for d in good]
+    assert all((codes.which[a] == codes.which[b]).all() for a, b in zip(good, bad, strict=True))
+    assert (lm.score_block(model, lm_row(good)) - lm.score_block(model, lm_row(bad)) > 10).all()

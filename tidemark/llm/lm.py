@@ -5,12 +5,16 @@ its vocabulary, word counts and subword ids (of a public vocabulary, so their nu
 bounded).  Word counts of all blocks meet by a shuffle on word hashes and return to
 their blocks, so no vocabulary is ever collected; they give the unigram base score.
 
-The model predicts the class of the next subword from attention over the classes before
-it, and the subword inside its class by its share in all training documents.  Classes
-hold about equal mass.  Weights are fitted by rounds of parameter averaging: every
-task takes Adam steps on a fixed share of the windows of its training documents, which
-grows with the input; averages are summed in groups before they reach the driver (a few
-thousand numbers whatever the input).  Scoring runs over all tokens of all documents:
+The model attends over the subwords before a place and predicts the class of the next
+one by a softmax, and the subword inside its class by a Huffman tree whose nodes have
+learned vectors (a hierarchical softmax, so probabilities of all ids add up to one).
+Classes hold about equal mass.  A subword enters as the vector of its class plus its own,
+which begins at zero; nodes begin at the shares of their sides in all training documents.
+Weights are fitted by rounds of parameter averaging: every task takes Adam steps, and
+Adagrad steps for the rows of subwords and nodes that it meets, on a fixed share of the
+windows of its training documents, which grows with the input.  Rows are averaged over
+the tasks that met them.  Averages are summed in groups before they reach the driver
+(some 100,000 rows of DIM + 1 numbers for a vocabulary of 50,000, whatever the input).  Scoring runs over all tokens of all documents:
 windows overlap, each token is scored once, with at least WIDTH - STRIDE tokens before
 it where the text has them.
 
@@ -22,6 +26,7 @@ uniform; an empty table gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import base64
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -42,6 +47,8 @@ SHARE, ROUNDS, BATCH = 16, 3, 256
 #: Bytes of text in a block.
 BLOCK = 2 << 20
 GROUPS = 64
+#: Rows of subwords and nodes that are averaged together, and their rate.
+SLICE, ROW_RATE = 8192, 0.05
 
 
 def default_path() -> str:
@@ -150,39 +157,92 @@ def subword_counts(table: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def classes_of(counts: np.ndarray, n: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """(class, log10 share inside the class) of every id; the last id is the end and has class 0 alone, the others are dealt by mass from the most frequent."""
+def classes_of(counts: np.ndarray, n: int = CLASSES) -> np.ndarray:
+    """Class of every id; the last id is the end and has class 0 alone, the others are dealt by mass from the most frequent."""
     order = np.argsort(-counts[:-1], kind="stable")
     smooth = counts.astype(np.float64) + 1
     mass = np.cumsum(smooth[order])
     which = np.zeros(len(counts), np.int64)
     which[order] = np.minimum((mass - smooth[order]) / mass[-1] * (n - 1), n - 2).astype(np.int64) + 1
-    inside = np.log10(smooth) - np.log10(np.maximum(np.bincount(which, smooth, n), 1))[which]
-    inside[-1] = 0.0
-    return which, inside
+    return which
+
+
+class Codes:
+    """Class of every id and its way through the Huffman tree of its class: ``node`` and ``sign`` from ``first[id]`` to ``first[id + 1]``.
+
+    ``bias`` of a node is the log odds of its sides by counts.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.which = classes_of(counts)
+        up: dict[int, tuple[int, int]] = {}  # of ids, and of nodes as -1 - node
+        bias: list[float] = []
+        members = np.argsort(self.which, kind="stable")
+        for ids in np.split(members, np.flatnonzero(np.diff(self.which[members])) + 1):
+            heap = [(int(counts[i]) + 1, int(i)) for i in ids]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (m, a), (n, b) = heapq.heappop(heap), heapq.heappop(heap)
+                up[a], up[b] = (len(bias), 1), (len(bias), -1)
+                heapq.heappush(heap, (m + n, -1 - len(bias)))
+                bias.append(math.log(m / n))
+        node, sign, first = [], [], [0]
+        for i in range(len(counts)):
+            at = i
+            while at in up:
+                k, side = up[at]
+                node.append(k)
+                sign.append(side)
+                at = -1 - k
+            first.append(len(node))
+        self.node, self.sign, self.first = np.array(node, np.int32), np.array(sign, np.float32), np.array(first, np.int64)
+        self.bias = np.array(bias, np.float32)
+
+    def rows(self) -> np.ndarray:
+        """Rows of all ids, of the start, and of all nodes, as they begin."""
+        out = np.zeros((len(self.which) + 1 + len(self.bias), DIM + 1), np.float32)
+        out[len(self.which) + 1 :, DIM] = self.bias
+        return out
+
+    def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number in ids, row of the node, sign) of every step on the ways to ids."""
+        n = (self.first[1:] - self.first[:-1])[ids]
+        at = np.repeat(self.first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(ids)), n), self.node[at] + (len(self.which) + 1), self.sign[at]
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their rows of values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[begin], np.add.reduceat(values[order], begin, axis=0) if len(begin) else values
 
 
 class Attention:
-    """One layer of causal self-attention; class n stands for the start."""
+    """One layer of causal self-attention; class n stands for the start.  With ``codes``, over ids: ``rows`` are theirs, those of the start and of the nodes."""
 
     SHAPES = {"emb": (CLASSES + 1, DIM), "pos": (WIDTH, DIM), "wq": (DIM, DIM), "wk": (DIM, DIM), "wv": (DIM, DIM), "wo": (DIM, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,)}
     _causal = np.tril(np.ones((WIDTH, WIDTH), np.float32))
     _mask = np.float32(-1e9) * (1 - _causal)
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, codes: Codes | None = None, rows: np.ndarray | None = None):
         if flat is None:
             rng = np.random.Generator(np.random.PCG64(7))
             flat = np.concatenate([(rng.standard_normal(math.prod(s)) * (0.0 if k == "bias" else 0.25)).astype(np.float32) for k, s in self.SHAPES.items()])
         self.flat = flat.astype(np.float32).copy()
+        self.codes, self.rows = codes, codes.rows() if rows is None and codes else rows
         self.p, at = {}, 0
         for k, s in self.SHAPES.items():
             self.p[k] = self.flat[at : at + math.prod(s)].reshape(s)
             at += math.prod(s)
 
-    def hidden(self, c: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Vectors at every place of windows c, from which the next class is read."""
+    def hidden(self, c: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Vectors at every place of windows of classes c (and ids), from which the next class and id are read."""
         p = self.p
         x = p["emb"][c] + p["pos"]
+        if ids is not None:
+            x += self.rows[ids, :DIM]
         q, k, v = x @ (p["wq"] * np.float32(DIM**-0.5)), x @ p["wk"], x @ p["wv"]
         a = q @ k.transpose(0, 2, 1)
         if np.abs(a).max(initial=0) > 60:  # no row can overflow below that
@@ -204,9 +264,19 @@ class Attention:
         np.exp(z, out=z)
         return got - np.log(z.sum(axis=1))
 
-    def forward(self, c: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def inside(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Natural log probability of the target id inside its class for rows of ``hidden``."""
+        at, row, sign = self.codes.ways(target)
+        w = self.rows[row]
+        z = np.einsum("ij,ij->i", h[at], w[:, :DIM])
+        z += w[:, DIM]
+        z *= sign
+        odds = np.exp(-np.clip(z, -60, 60))
+        return -np.bincount(at, np.log1p(odds), len(h)), (at, row, sign, w, odds)
+
+    def forward(self, c: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         """Log probabilities (natural) of every next class at every place of windows c."""
-        h, rest = self.hidden(c)
+        h, rest = self.hidden(c, ids)
         z = (h.reshape(-1, DIM) @ self.p["out"]).reshape(*c.shape, CLASSES)
         z += self.p["bias"]
         z -= z.max(axis=2, keepdims=True)
@@ -214,8 +284,12 @@ class Attention:
         return z, (*rest, h)
 
     def gradient(self, c: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray]:
+        return self.gradients(c, target, live)[:2]
+
+    def gradients(self, c: np.ndarray, target: np.ndarray, live: np.ndarray, ids: np.ndarray | None = None, wanted: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(loss, gradient of flat, rows met, their gradients, how often each was met)."""
         p = self.p
-        z, (c, x, q, k, v, a, o, h) = self.forward(c)
+        z, (c, x, q, k, v, a, o, h) = self.forward(c, ids)
         n = max(1, int(live.sum()))
         loss = -float(np.take_along_axis(z, target[..., None], 2)[..., 0][live].sum()) / n
         dz = np.exp(z)
@@ -224,6 +298,19 @@ class Attention:
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g = {"out": flat(h).T @ flat(dz), "bias": flat(dz).sum(axis=0)}
         dh = dz @ p["out"].T
+        met, slope = [], []
+        if ids is not None:
+            near = h[live]
+            got, (at, row, sign, w, odds) = self.inside(near, wanted[live])
+            loss -= float(got.sum()) / n
+            ds = (-sign * odds / (1 + odds) / np.float32(n)).astype(np.float32)[:, None]
+            back = np.zeros_like(near)
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            if len(begin):
+                back[at[begin]] = np.add.reduceat(ds * w[:, :DIM], begin, axis=0)
+            dh[live] += back
+            met.append(row)
+            slope.append(ds * np.concatenate([near[at], np.ones((len(at), 1), np.float32)], axis=1))
         g["wo"] = flat(o).T @ flat(dh)
         do = dh @ p["wo"].T
         da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
@@ -233,7 +320,13 @@ class Attention:
         dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
         g["pos"] = dx.sum(axis=0)
         g["emb"] = np.stack([np.bincount(c.ravel(), flat(dx)[:, j], CLASSES + 1) for j in range(DIM)], axis=1)
-        return loss, np.concatenate([np.asarray(g[s], np.float32).ravel() for s in self.SHAPES])
+        if ids is not None:
+            use = live.ravel()
+            met.append(ids.ravel()[use])
+            slope.append(np.pad(flat(dx)[use], ((0, 0), (0, 1))))
+        met, slope = (np.concatenate(met), np.concatenate(slope)) if met else (np.zeros(0, np.int64), np.zeros((0, DIM + 1), np.float32))
+        met, slope = summed(met, np.pad(slope, ((0, 0), (0, 1)), constant_values=1))
+        return loss, np.concatenate([np.asarray(g[s], np.float32).ravel() for s in self.SHAPES]), met, slope[:, :-1], slope[:, -1]
 
 
 def sequences(row: dict, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,12 +357,19 @@ def windows_of(first: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     return first[doc] + number * STRIDE, end[doc]
 
 
-def score_block(model: Attention, row: dict, which: np.ndarray, inside: np.ndarray, step: int = 512) -> np.ndarray:
+def before(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """What stands before each place: its predecessor, or ``start`` where a document begins."""
+    out = np.concatenate([[start], ids[:-1]])
+    out[first] = start
+    return out
+
+
+def score_block(model: Attention, row: dict, step: int = 512) -> np.ndarray:
     """log10 probability of every document of a block."""
+    which = model.codes.which
     ids, doc, first = sequences(row, which)
     cls = which[ids]
-    seen = np.concatenate([[CLASSES], cls[:-1]])
-    seen[first] = CLASSES
+    seen, seen_ids = before(cls, first, CLASSES), before(ids, first, len(which))
     start, end = windows_of(first, len(ids))
     fresh = np.isin(start, first)
     got = np.empty(len(ids), np.float32)
@@ -278,19 +378,19 @@ def score_block(model: Attention, row: dict, which: np.ndarray, inside: np.ndarr
         at = start[k : k + step, None] + place
         live = (at < end[k : k + step, None]) & (fresh[k : k + step, None] | (place >= WIDTH - STRIDE))
         at = np.minimum(at, len(ids) - 1)
-        h, _ = model.hidden(seen[at])
-        at = at[live]
-        got[at] = model.log_probability(h[live], cls[at])
-    return np.bincount(doc, got / math.log(10) + inside[ids], len(first))
+        h, _ = model.hidden(seen[at], seen_ids[at])
+        at, h = at[live], h[live]
+        got[at] = model.log_probability(h, cls[at]) + model.inside(h, ids[at])[0]
+    return np.bincount(doc, got / math.log(10), len(first))
 
 
-def train_block(model: Attention, row: dict, which: np.ndarray, number: int, moments: list[np.ndarray], step: list[int], rate: float) -> int:
+def train_block(model: Attention, row: dict, number: int, moments: list[np.ndarray], met: np.ndarray, step: list[int], rate: float) -> int:
     """Adam steps on every SHARE-th window of the training documents of a block; returns their number of windows."""
+    which = model.codes.which
     ids, doc, first = sequences(row, which)
     train = np.frombuffer(row["train"], bool)
     cls = which[ids]
-    seen = np.concatenate([[CLASSES], cls[:-1]])
-    seen[first] = CLASSES
+    seen, seen_ids = before(cls, first, CLASSES), before(ids, first, len(which))
     start, end = windows_of(first, len(ids))
     start, end = start[train[doc[start]]], end[train[doc[start]]]
     chosen = np.flatnonzero((np.arange(len(start)) + number) % SHARE == 0)
@@ -300,11 +400,14 @@ def train_block(model: Attention, row: dict, which: np.ndarray, number: int, mom
         at = start[c, None] + np.arange(WIDTH)
         live = at < end[c, None]
         at = np.minimum(at, len(ids) - 1)
-        _, g = model.gradient(seen[at], cls[at], live)
+        _, g, rows, slope, often = model.gradients(seen[at], cls[at], live, seen_ids[at], ids[at])
         step[0] += 1
         moments[0] += 0.1 * (g - moments[0])
         moments[1] += 0.01 * (g * g - moments[1])
         model.flat -= rate * (moments[0] / (1 - 0.9 ** step[0])) / (np.sqrt(moments[1] / (1 - 0.99 ** step[0])) + 1e-8)
+        met[rows, 0] += often
+        met[rows, 1] += np.square(slope).mean(axis=1)
+        model.rows[rows] -= rate * (ROW_RATE / 0.02) * slope / (np.sqrt(met[rows, 1:]) + 1e-8)
     return len(chosen)
 
 
@@ -316,34 +419,50 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {k: batch.column(k)[i].as_py() for k in batch.schema.names}
 
 
-def fit(table: DataFrame, which: np.ndarray) -> Attention:
+def fit(table: DataFrame, codes: Codes) -> Attention:
     """Parameter averaging over all blocks."""
-    model = Attention()
+    model = Attention(codes=codes)
     spark = table.sparkSession
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model.flat, which))
+        shared = spark.sparkContext.broadcast((model.flat, codes, model.rows))
 
         def run(batches, shared=shared, turn=turn):
-            flat, which = shared.value
-            own = Attention(flat)
+            flat, codes, rows = shared.value
+            own = Attention(flat, codes, rows.copy())
             moments, step, n, name = [np.zeros_like(own.flat), np.zeros_like(own.flat)], [0], 0, 0
+            met = np.zeros((len(rows), 2), np.float32)
             for batch in batches:
                 for row in _rows(batch):
                     name = row["block"]
-                    n += train_block(own, row, which, (zlib.crc32(str(name).encode()) + turn * 5) % (1 << 31), moments, step, 0.02 / (turn + 1))
+                    n += train_block(own, row, (zlib.crc32(str(name).encode()) + turn * 5) % (1 << 31), moments, met, step, 0.02 / (turn + 1))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([name % GROUPS]), pa.array([(own.flat.astype(np.float64) * n).tobytes()]), pa.array([n])], names=["g", "sum", "n"])
+                out = [(0, b"", own.flat.astype(np.float64) * n, n)]
+                at = np.flatnonzero(met[:, 0])
+                moved = np.concatenate([(own.rows[at] - rows[at]) * met[at, :1], met[at, :1]], axis=1)
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // SLICE)) + 1):
+                    out.append((1 + int(at[part[0]]) // SLICE, at[part].astype(np.int32).tobytes(), moved[part], 0))
+                columns = [pa.array([k for k, *_ in out]), pa.array([name % GROUPS] * len(out)), pa.array([a for _, a, *_ in out], pa.binary()), pa.array([x.tobytes() for *_, x, _ in out], pa.binary()), pa.array([w for *_, w in out])]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "g", "at", "sum", "n"])
 
         def add(pdf):
-            total = np.sum([np.frombuffer(b, np.float64) for b in pdf["sum"]], axis=0)
-            return pdf.iloc[:1].assign(sum=[total.tobytes()], n=int(pdf["n"].sum()))
-
-        got = table.select("block", *_SEQ).mapInArrow(run, "g long, sum binary, n long").groupBy("g").applyInPandas(add, "g long, sum binary, n long").collect()
-        weight = sum(r["n"] for r in got)
-        if not weight:
+            if pdf["slice"].iloc[0] == 0:
+                at, total = b"", np.sum([np.frombuffer(b, np.float64) for b in pdf["sum"]], axis=0)
+            else:
+                at, total = summed(np.concatenate([np.frombuffer(b, np.int32) for b in pdf["at"]]), np.concatenate([np.frombuffer(b, np.float32).reshape(-1, DIM + 2) for b in pdf["sum"]]))
+                at = at.tobytes()
+            return pdf.iloc[:1].assign(at=[at], sum=[total.tobytes()], n=int(pdf["n"].sum()))
+
+        schema = "slice long, g long, at binary, sum binary, n long"
+        got = table.select("block", *_SEQ).mapInArrow(run, schema).groupBy("slice", "g").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema).collect()
+        flat = next((r for r in got if r["slice"] == 0), None)
+        if flat is None:
             return model
-        total = np.sum([np.frombuffer(r["sum"], np.float64) for r in sorted(got, key=lambda r: r["g"])], axis=0)
-        model = Attention((total / weight).astype(np.float32))
+        rows = model.rows.copy()
+        for r in got:
+            if r["slice"]:
+                moved = np.frombuffer(r["sum"], np.float32).reshape(-1, DIM + 2)
+                rows[np.frombuffer(r["at"], np.int32)] += moved[:, :-1] / moved[:, -1:]
+        model = Attention((np.frombuffer(flat["sum"], np.float64) / flat["n"]).astype(np.float32), codes, rows)
     return model
 
 
@@ -358,13 +477,11 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts = subword_counts(table, size)
     n_docs_train = int(counts[-1])
     distinct = int(known.agg(F.sum("fresh")).first()[0] or 0) + (n_docs_train > 0)
-    which, inside = classes_of(counts)
-    model = fit(table, which)
-    shared = spark.sparkContext.broadcast((model.flat, which, inside))
+    model = fit(table, Codes(counts))
+    shared = spark.sparkContext.broadcast((model.flat, model.codes, model.rows))
 
     def run(batches):
-        flat, which, inside = shared.value
-        model = Attention(flat)
+        model = Attention(*shared.value)
         floor = math.log10(n_train + distinct + 1)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -381,7 +498,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                 base = np.bincount(doc, np.log10(c + 1), len(n)) + math.log10(n_docs_train + 1) - (n + 1) * floor
                 n_known = np.bincount(doc, c > 0, len(n)).astype(np.int64) + (n_docs_train > 0)
                 train = np.frombuffer(row["train"], bool)
-                columns = [pa.array(row["doc_id"], pa.int64()), pa.array(~train), pa.array(n.astype(np.int64) + 1), pa.array(n_known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(score_block(model, row, which, inside))]
+                columns = [pa.array(row["doc_id"], pa.int64()), pa.array(~train), pa.array(n.astype(np.int64) + 1), pa.array(n_known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(score_block(model, row))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     both = table.select("block", "doc_id", *_SEQ).join(known.select("block", "known"), "block", "left").drop("block")
