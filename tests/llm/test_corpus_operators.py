@@ -433,9 +433,27 @@ def test_lm_tells_ids_of_one_class_apart():
     text = lambda: np.stack([x := rng.integers(0, 300, 100), follows[x]], axis=1).ravel()
     row, model = lm_row([text() for _ in range(400)]), lm.Attention(codes=codes)
     moments, met, step = [np.zeros_like(model.flat), np.zeros_like(model.flat)], np.zeros((len(model.rows), 2), np.float32), [0]
-    for number in range(4 * lm.SHARE):
+    for number in range(4 * lm.ROUNDS):
         lm.train_block(model, row, number, moments, met, step, 0.02)
     good = [text() for _ in range(20)]
     bad = [np.where(np.arange(200) % 2, [rng.choice(np.flatnonzero(codes.which[:-1] == codes.which[i])) for i in d], d) for d in good]
     assert all((codes.which[a] == codes.which[b]).all() for a, b in zip(good, bad, strict=True))
     assert (lm.score_block(model, lm_row(good)) - lm.score_block(model, lm_row(bad)) > 10).all()
+
+
+def test_lm_rounds_train_on_every_token_once(monkeypatch):
+    seen = Counter()
+
+    def gradients(self, c, target, live, ids=None, wanted=None):
+        seen.update(wanted[live].tolist())
+        return 0.0, np.zeros_like(self.flat), np.zeros(0, np.int64), np.zeros((0, lm.DIM + 1), np.float32), np.zeros(0, np.float32)
+
+    monkeypatch.setattr(lm.Attention, "gradients", gradients)
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 300, n) for n in (0, 1, 3, 15, 16, 17, 31, 100, 500, 2, 40)]
+    row, model = lm_row(docs), lm.Attention(codes=lm.Codes(np.full(301, 100)))
+    row["train"] = np.array([k != 8 for k in range(len(docs))]).tobytes()
+    for turn in range(lm.ROUNDS):
+        moments, met = [np.zeros_like(model.flat), np.zeros_like(model.flat)], np.zeros((len(model.rows), 2), np.float32)
+        lm.train_block(model, row, 12345 + turn, moments, met, [0], 0.02)
+    assert seen == Counter(np.concatenate([d for k, d in enumerate(docs) if k != 8]).tolist()) + Counter({300: len(docs) - 1})

@@ -11,9 +11,9 @@ learned vectors (a hierarchical softmax, so probabilities of all ids add up to o
 Classes hold about equal mass.  A subword enters as the vector of its class plus its own,
 which begins at zero; nodes begin at the shares of their sides in all training documents.
 Weights are fitted by rounds of parameter averaging: every task takes Adam steps, and
-Adagrad steps for the rows of subwords and nodes that it meets, on a fixed share of the
-windows of its training documents, which grows with the input.  Rows are averaged over
-the tasks that met them.  Averages are summed in groups before they reach the driver
+Adagrad steps for the rows of subwords and nodes that it meets.  Each round takes another
+share of the windows, and together they take every subword of every training document
+once.  Rows are averaged over the tasks that met them.  Averages are summed in groups before they reach the driver
 (some 100,000 rows of DIM + 1 numbers for a vocabulary of 50,000, whatever the input).  Scoring runs over all tokens of all documents:
 windows overlap, each token is scored once, with at least WIDTH - STRIDE tokens before
 it where the text has them.
@@ -42,8 +42,8 @@ from tidemark.llm.store import save
 #: Remainder of crc32(doc_id as text) mod FOLDS that is held out.
 FOLDS, HELD_OUT = 7, 2
 CLASSES, DIM, WIDTH, STRIDE = 64, 16, 16, 12
-#: One window in so many is trained on; rounds of averaging; windows in a step.
-SHARE, ROUNDS, BATCH = 16, 3, 256
+#: Rounds of averaging, each over one window in so many; windows in a step.
+ROUNDS, BATCH = 3, 256
 #: Bytes of text in a block.
 BLOCK = 2 << 20
 GROUPS = 64
@@ -347,14 +347,14 @@ def sequences(row: dict, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return out, np.repeat(np.arange(len(n)), per_doc + 1), ends - per_doc
 
 
-def windows_of(first: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(first: np.ndarray, total: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(place of each window's first token, end of its document) for documents that begin at ``first``."""
     end = np.append(first[1:], total)
     size = end - first
-    count = 1 + np.maximum(0, -(-(size - WIDTH) // STRIDE))
+    count = 1 + np.maximum(0, -(-(size - WIDTH) // stride))
     doc = np.repeat(np.arange(len(first)), count)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return first[doc] + number * STRIDE, end[doc]
+    return first[doc] + number * stride, end[doc]
 
 
 def before(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
@@ -385,15 +385,15 @@ def score_block(model: Attention, row: dict, step: int = 512) -> np.ndarray:
 
 
 def train_block(model: Attention, row: dict, number: int, moments: list[np.ndarray], met: np.ndarray, step: list[int], rate: float) -> int:
-    """Adam steps on every SHARE-th window of the training documents of a block; returns their number of windows."""
+    """Adam steps on the windows of the training documents of a block that ``number`` names, one in ROUNDS; returns their number."""
     which = model.codes.which
     ids, doc, first = sequences(row, which)
     train = np.frombuffer(row["train"], bool)
     cls = which[ids]
     seen, seen_ids = before(cls, first, CLASSES), before(ids, first, len(which))
-    start, end = windows_of(first, len(ids))
+    start, end = windows_of(first, len(ids), WIDTH)
     start, end = start[train[doc[start]]], end[train[doc[start]]]
-    chosen = np.flatnonzero((np.arange(len(start)) + number) % SHARE == 0)
+    chosen = np.flatnonzero((np.arange(len(start)) + number) % ROUNDS == 0)
     chosen = np.random.Generator(np.random.PCG64(number)).permutation(chosen)
     for k in range(0, len(chosen), BATCH):
         c = chosen[k : k + BATCH]
@@ -434,7 +434,7 @@ def fit(table: DataFrame, codes: Codes) -> Attention:
             for batch in batches:
                 for row in _rows(batch):
                     name = row["block"]
-                    n += train_block(own, row, (zlib.crc32(str(name).encode()) + turn * 5) % (1 << 31), moments, met, step, 0.02 / (turn + 1))
+                    n += train_block(own, row, zlib.crc32(str(name).encode()) + turn, moments, met, step, 0.02 / (turn + 1))
             if n:
                 out = [(0, b"", own.flat.astype(np.float64) * n, n)]
                 at = np.flatnonzero(met[:, 0])
