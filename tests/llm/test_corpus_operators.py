@@ -457,3 +457,9 @@ def test_lm_rounds_train_on_every_token_once(monkeypatch):
         moments, met = [np.zeros_like(model.flat), np.zeros_like(model.flat)], np.zeros((len(model.rows), 2), np.float32)
         lm.train_block(model, row, 12345 + turn, moments, met, [0], 0.02)
     assert seen == Counter(np.concatenate([d for k, d in enumerate(docs) if k != 8]).tolist()) + Counter({300: len(docs) - 1})
+
+
+def test_lm_scores_with_half_a_window_before_each_token():
+    start, _ = lm.windows_of(np.array([0]), 200)
+    for s in start[1:]:
+        assert lm.WIDTH - lm.STRIDE >= lm.WIDTH // 2 and s % lm.STRIDE == 0

@@ -41,7 +41,7 @@ from tidemark.llm.store import save
 
 #: Remainder of crc32(doc_id as text) mod FOLDS that is held out.
 FOLDS, HELD_OUT = 7, 2
-CLASSES, DIM, WIDTH, STRIDE = 64, 16, 16, 12
+CLASSES, DIM, WIDTH, STRIDE = 64, 16, 16, 8
 #: Rounds of averaging, each over one window in so many; windows in a step.
 ROUNDS, BATCH = 3, 256
 #: Bytes of text in a block.
@@ -289,15 +289,22 @@ class Attention:
     def gradients(self, c: np.ndarray, target: np.ndarray, live: np.ndarray, ids: np.ndarray | None = None, wanted: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(loss, gradient of flat, rows met, their gradients, how often each was met)."""
         p = self.p
-        z, (c, x, q, k, v, a, o, h) = self.forward(c, ids)
+        h, (c, x, q, k, v, a, o) = self.hidden(c, ids)
         n = max(1, int(live.sum()))
-        loss = -float(np.take_along_axis(z, target[..., None], 2)[..., 0][live].sum()) / n
-        dz = np.exp(z)
-        np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-        dz *= (live[..., None] / np.float32(n)).astype(np.float32)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(h).T @ flat(dz), "bias": flat(dz).sum(axis=0)}
-        dh = dz @ p["out"].T
+        dz = flat(h) @ p["out"]
+        dz += p["bias"]
+        if np.abs(dz).max(initial=0) > 60:
+            dz -= dz.max(axis=1, keepdims=True)
+        place, goal, use = np.arange(len(dz)), target.ravel(), live.ravel()
+        got = dz[place, goal]
+        np.exp(dz, out=dz)
+        total = dz.sum(axis=1)
+        loss = -float((got - np.log(total))[use].sum()) / n
+        dz *= (use / np.float32(n) / total).astype(np.float32)[:, None]
+        dz[place, goal] -= (use / np.float32(n)).astype(np.float32)
+        g = {"out": flat(h).T @ dz, "bias": dz.sum(axis=0)}
+        dh = (dz @ p["out"].T).reshape(h.shape)
         met, slope = [], []
         if ids is not None:
             near = h[live]
@@ -321,7 +328,6 @@ class Attention:
         g["pos"] = dx.sum(axis=0)
         g["emb"] = np.stack([np.bincount(c.ravel(), flat(dx)[:, j], CLASSES + 1) for j in range(DIM)], axis=1)
         if ids is not None:
-            use = live.ravel()
             met.append(ids.ravel()[use])
             slope.append(np.pad(flat(dx)[use], ((0, 0), (0, 1))))
         met, slope = (np.concatenate(met), np.concatenate(slope)) if met else (np.zeros(0, np.int64), np.zeros((0, DIM + 1), np.float32))
