@@ -238,3 +238,15 @@ def test_licences_odd_rows(docs_of):
 def test_licences_are_native(docs_of):
     plan = licences.scan(docs_of(ODD))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_licence_keywords_are_in_every_match():
+    for r in licences.rules():
+        least, before = r.pattern, None
+        while least != before:  # without what is optional; of alternatives each
+            before, least = least, re.sub(r"\(\?:[^()]*\)\?|(?<=[a-z ])[a-z ]?\?(?!:)", "", least)
+        texts = [least]
+        while any("(?:" in t for t in texts):
+            texts = [t.replace(m[0], x, 1) for t in texts if (m := re.search(r"\(\?:([^()]*)\)", t)) for x in m[1].split("|")] or texts
+        for t in texts:
+            assert " " + r.keyword in " " + t.replace("[cs]", "c"), r

@@ -66,7 +66,10 @@ def rules() -> tuple[Rule, ...]:
         out += _family(name, 1, key, f"licen[cs]ed? (?:under )?{_THE}{short}", f"{short} licen[cs]ed?", f"spdx license identifier {name}")
     for v in ("1 0", "1 1", "2 0"):
         label = f"apache-{v.replace(' ', '.')}"
-        out += _family(label, 4, "apache", f"apache (?:software )?licen[cs]e {_VERSION}{v}", f"apache {v} licen[cs]e", f"apache {_VERSION}{v}", f"asl {v}", f"licen[cs]es license {v}")
+        out += _family(label, 4, "apache", f"apache (?:software )?licen[cs]e {_VERSION}{v}", f"apache {v} licen[cs]e", f"apache {_VERSION}{v}")
+        out += _family(label, 4, "asl", f"asl {v}")
+        out += _family(label, 4, "licenses license", f"licenses license {v}")
+        out += _family(label, 4, "licences license", f"licences license {v}")
     out += _family("apache", 2, "apache", "apache (?:software )?licen[cs]e", "apache org licenses", "licen[cs]ed to the apache software foundation")
     for kind, key in (("by", "attribution"), ("by-sa", "sharealike"), ("by-nc", "noncommercial"), ("by-nd", "noderivatives"), ("by-nc-sa", "noncommercial"), ("by-nc-nd", "noncommercial")):
         words = kind.replace("-", " ")
@@ -75,13 +78,16 @@ def rules() -> tuple[Rule, ...]:
         for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             label = f"cc-{kind}-{v.replace(' ', '.')}"
             out += _family(label, order + 1, "cc", f"cc {words} {v}", f"cc{words.replace(' ', '')} {v}")
-            out += _family(label, order + 1, "commons", f"creative commons {long} {v}(?: (?:international|unported|generic))?", f"creativecommons org licenses {words} {v}")
+            out += _family(label, order + 1, "commons", f"creative commons {long} {v}(?: (?:international|unported|generic))?")
+            out += _family(label, order + 1, "creativecommons", f"creativecommons org licenses {words} {v}")
         out += _family(f"cc-{kind}", order, "cc", f"cc {words}")
-        out += _family(f"cc-{kind}", order, "commons", f"creative commons {long}", f"creativecommons org licenses {words}")
+        out += _family(f"cc-{kind}", order, "commons", f"creative commons {long}")
+        out += _family(f"cc-{kind}", order, "creativecommons", f"creativecommons org licenses {words}")
     out += _family("cc0-1.0", 6, "cc0", "cc0(?: 1 0)?(?: universal)?")
     out += _family("cc0-1.0", 6, "commons", "creative commons (?:cc0|zero)(?: 1 0)?")
     out += _family("mit", 3, "mit", "mit licen[cs]e", "licen[cs]ed under (?:the )?mit", "spdx license identifier mit", "mit style licen[cs]e")
-    out += _family("mit", 3, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software", "the above copyright notice and this permission notice shall be included")
+    out += _family("mit", 3, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software")
+    out += _family("mit", 3, "the above copyright notice", "the above copyright notice and this permission notice shall be included")
     for n, count in (("2", "two"), ("3", "three"), ("4", "four")):
         out += _family(f"bsd-{n}-clause", 4, "bsd", f"bsd {n} clause(?: licen[cs]e)?", f"{n} clause bsd(?: licen[cs]e)?", f"{count} clause bsd(?: licen[cs]e)?")
     out += _family("bsd", 2, "bsd", "bsd licen[cs]e", "bsd style licen[cs]e", "licen[cs]ed under (?:the )?bsd", "new bsd licen[cs]e", "simplified bsd licen[cs]e")
