@@ -239,8 +239,8 @@ def test_repeats_against_brute_force(docs_of):
 def test_repeats_hot_grams_and_pieces(docs_of, monkeypatch):
     # Limits so low that every path is taken; tasks see them by closure only in this process, so they are applied by hand.
     rows = passages()
-    assert [p[1] for p in repeats.pieces_of(1, b"x" * (repeats.PIECE + 50))] == [0]
-    assert [p[1] for p in repeats.pieces_of(1, b"x" * (repeats.PIECE + 500))] == [0, repeats.PIECE]
+    assert [p[2] for p in repeats.pieces_of(1, 0, b"x" * (repeats.PIECE + 50))] == [0]
+    assert [p[2] for p in repeats.pieces_of(1, 0, b"x" * (repeats.PIECE + 500))] == [0, repeats.PIECE]
     monkeypatch.setattr(repeats, "HOT", 3)
     got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs_of(rows)).collect()}
     assert got == {d: v[1] for d, v in brute_repeats(rows).items()}
@@ -255,6 +255,19 @@ def test_repeats_odd_rows(docs_of):
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
 
+def test_repeats_of_ids_with_several_texts(docs_of):
+    long, short = prose(3, 60), prose(4, 3)
+    rows = [(0, long), (1, long), (1, short), (1, prose(5, 40)), (1, prose(5, 40)), (2, prose(5, 40)), (None, long), (None, short)]
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.remove_repeats(docs_of(rows)).collect()}
+    n, m = len(long), len(prose(5, 40))
+    assert got == {(0, n): 0, (1, n): n, (1, len(short)): 0, (1, m): 0, (2, m): m, (None, n): n, (None, len(short)): 0}
+
+
+def test_repeats_query(spark, small):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.op5_suffix_array_dedup(spark, DATA).collect()}
+    assert got == brute_repeats([(r["doc_id"], r["text"]) for r in small.collect()])
+
+
 def test_column_wise_construction():
     rng = random.Random(3)
     for _ in range(150):
