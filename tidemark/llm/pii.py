@@ -13,10 +13,11 @@ overlap, those of one kind never do.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         d = _digits(m[0])
@@ -120,11 +121,14 @@ def spans(text: str) -> list[Span]:
     out = [Span(k, a, b, _score(text, k, a, b, k == "card")) for k, a, b in base_spans(text)]
     if _DIGIT.search(text):
         taken = sorted((s.start, s.end) for s in out)
+        begins = [a for a, _ in taken]
+        furthest = list(accumulate((b for _, b in taken), max))  # end of any span that begins so far
         more = [("iban", m, mod97(m[0].replace(" ", ""))) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34]
         more += [("ssn", m, False) for m in _SSN.finditer(text) if not re.match(r"000|666|9|...-00|.{7}0000", m[0])]
         more += [("local_phone", m, False) for m in _LOCAL_PHONE.finditer(text)]
         for kind, m, confirmed in more:
-            if kind == "iban" and not confirmed or any(a <= m.start() and m.end() <= b for a, b in taken):
+            before = bisect_right(begins, m.start())
+            if kind == "iban" and not confirmed or before and furthest[before - 1] >= m.end():
                 continue
             if (score := _score(text, kind, m.start(), m.end(), confirmed)) >= LEAST:
                 out.append(Span(kind, m.start(), m.end(), score))
