@@ -24,7 +24,6 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Sequence
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -52,18 +51,37 @@ def byte_symbols() -> dict[int, str]:
     return {b: out.get(b) or next(spare) for b in range(256)}
 
 
-@lru_cache(1)
-def late_letters() -> str:
-    """Character class body: letters of ``regex`` that the Unicode version of the tokenizer files doesn't have yet."""
-    letter = regex.compile(r"\p{L}")
-    late = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn" and letter.match(chr(c))]
-    runs: list[list[int]] = []
-    for c in late:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) or "\\U0010fffe"
+#: The library's classes are those of Unicode 16; letters and digits that later versions added are neither to it.
+LATE_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 "
+    "16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATE_DIGITS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: Lower case as of Unicode 17, where Python's tables are older: first, last, distance.
+LATE_LOWER = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+#: What the library's older normal forms leave where it stands: marks that they don't reorder, and the second half of one pair.
+UNMOVED = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 "
+    "119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+_LOWER = {c: chr(c + d) for a, b, d in LATE_LOWER for c in range(a, b + 1)}
+_LATE_UPPER = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+
+
+def class_body(ranges: str) -> str:
+    """The inside of a character class for ranges of hexadecimal code points."""
+    return "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges.split())
+
+
+_UNMOVED = re.compile(f"([{class_body(UNMOVED)}])")
+
+
+def composed(text: str) -> str:
+    """Normal form C as the library has it."""
+    if text.isascii() or not _UNMOVED.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in _UNMOVED.split(text))
 
 
 class Vocabulary:
@@ -87,7 +105,9 @@ class Vocabulary:
                 if whole not in self.split:
                     self.split[whole], self.rank[whole] = key, r
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = pattern.replace("[\\p{L}]+", f"[\\p{{L}}--[{late_letters()}]]+").replace("[^\\s\\p{L}\\p{N}]+", f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{late_letters()}])+")
+        letters, digits = class_body(LATE_LETTERS), class_body(LATE_DIGITS)
+        own = {"[\\p{L}]+": f"[\\p{{L}}--[{letters}]]+", "[\\p{N}]": f"[\\p{{N}}--[{digits}]]", "[^\\s\\p{L}\\p{N}]+": f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{letters}{digits}])+"}
+        self.pattern = "|".join(own.get(way, way) for way in pattern.split("|"))
 
     @staticmethod
     def _own(token: str, suffix: str) -> str:
@@ -183,7 +203,9 @@ class Encoder:
         return [i for _, _, i in taken]
 
     def _plain(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
+        text = composed(text)
+        if not text.isascii() and _LATE_UPPER.search(text):
+            text = _LATE_UPPER.sub(lambda m: _LOWER[ord(m[0])], text)
         if _ODD_SPACES.search(text):
             chunks = _SPACES.sub(" ", text).split(" ")
             return [x for c in chunks if c for x in [c.replace("Σ", "σ").lower()]]
