@@ -215,7 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # One text for each id, so that repeated ids don't make the sample larger: the one with the least hash.
+    h = F.xxhash64("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "__quality").agg(F.min_by("text", F.struct(h, "text")).alias("text"))
     got = features(rows.select("__quality", "text")).select("__quality", "features").toPandas()
     if not len(got):
         return Trees()
