@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -53,6 +55,24 @@ def test_bpe_equals_library(library, vocabulary):
         assert decoder.decode(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_bpe_equals_library_at_every_code_point(library, vocabulary):
+    encoder = bpe.Encoder(vocabulary)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(every), 4000):
+        t = " ".join(f"a{chr(c)}b Q{chr(c)}" for c in every[k : k + 4000])
+        assert np.frombuffer(encoder.encode(t), np.int32).tolist() == library.encode(t, add_special_tokens=False).ids, hex(every[k])
+
+
+def test_bpe_normal_form_of_every_mark(library):
+    from tokenizers import normalizers
+
+    form = normalizers.NFC()
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    pairs = ["".join(chr(int(x, 16)) for x in d.split()) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and not 0xD800 <= c < 0xE000]
+    for t in [f"a\u0315{m}\u0316" for m in marks] + pairs + [p + "\u0316\u0301" for p in pairs]:
+        assert bpe.composed(t) == form.normalize_str(t), t.encode("unicode_escape")
+
+
 def test_bpe_memory_is_emptied_and_refilled(vocabulary, monkeypatch, library):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     encoder = bpe.Encoder(vocabulary)
@@ -119,6 +139,15 @@ def test_pii_added_kinds_need_proof_or_context():
     assert pii.redact("x a@b.cc y", pii.spans("x a@b.cc y")) == "x <EMAIL> y"
 
 
+def test_pii_long_runs_of_zeros_and_many_spans():
+    assert [s.kind for s in pii.spans("1.2.3." + "0" * 5000)] == ["ip"] and pii.spans("1.2.3." + "0" * 5000 + "256") == []
+    assert [s.kind for s in pii.spans("0000.1.2.3 and 000255.0.0.0")] == ["ip", "ip"]
+    t = "call (212) 555-1234 or a@b.cc, " * 8000
+    began = time.process_time()
+    assert len(pii.spans(t)) == 16000
+    assert time.process_time() - began < 5
+
+
 def test_pii_odd_rows(docs_of):
     rows = [*ODD, (9, "1" * 20000), (10, "@" * 5000 + "a@" * 3000), (11, "a." * 5000)]
     out = pii.find(docs_of(rows).withColumn("pii_spans", F.lit(1)), redacted=True).collect()
