@@ -3,21 +3,34 @@
 Every stage works on all documents that the one before it kept.  All but the last
 return the columns of ``documents``; the last returns doc_id and the token ids.
 Stages are written and read again between each other, so none is computed twice.
+
+Cases, for every stage: null texts count as empty; rows without doc_id stay rows of their
+own; repeated rows are judged alike, and all but one go as duplicates; an empty table gives
+an empty table; columns beyond those of ``documents`` pass through with their own values,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, near, pii, quality
 from tidemark.llm.store import save
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Documents whose other columns have names that no operator uses, and the columns that undo it."""
+    other = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    named = [F.col(f"`{c}`").alias(other.get(c, c)) for c in docs.columns]
+    return docs.select(*named), [F.col(other.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_quality(docs, model).where("kept").select(*docs.columns)
+    plain, back = _aside(docs)
+    return quality.with_quality(plain, model).where("kept").select(*back)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +45,12 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind; n_chars follows the text."""
-    found = pii.find(docs, redacted=True)
-    new = {"text": F.when(F.size("pii_spans") > 0, F.col("redacted_text")).otherwise(F.col("text")), "n_chars": F.when(F.size("pii_spans") > 0, F.length("redacted_text").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    plain, back = _aside(docs)
+    hit = F.size("pii_spans") > 0
+    found = pii.find(plain, redacted=True)
+    new = {"text": F.when(hit, F.col("redacted_text")).otherwise(F.col("text"))}
+    new |= {c: F.when(hit, F.length("redacted_text").cast("long")).otherwise(own) for c, own in zip(docs.columns, back, strict=True) if c == "n_chars"}
+    return found.select(*[new[c].alias(c) if c in new else own for c, own in zip(docs.columns, back, strict=True)])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
