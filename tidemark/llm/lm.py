@@ -1,26 +1,32 @@
 """Language-model scoring: causal self-attention over subword ids, trained in numpy.
 
-Texts are lower-cased (A-Z) and cut into blocks of documents, each written once with
-its vocabulary, word counts and subword ids (of a public vocabulary, so their number is
-bounded).  Word counts of all blocks meet by a shuffle on word hashes and return to
+Texts are lower-cased (A-Z) and dealt to blocks of about BLOCK bytes by a hash of id and
+text, so what a block holds doesn't depend on files, partitions or cores.  Each block is
+written once with its vocabulary, word counts and subword ids (of a public vocabulary, so
+their number is bounded).  Word counts of all blocks are summed by word hash and return to
 their blocks, so no vocabulary is ever collected; they give the unigram base score.
 
-The model attends over the subwords before a place and predicts the class of the next
-one by a softmax, and the subword inside its class by a Huffman tree whose nodes have
-learned vectors (a hierarchical softmax, so probabilities of all ids add up to one).
-Classes hold about equal mass.  A subword enters as the vector of its class plus its own,
-which begins at zero; nodes begin at the shares of their sides in all training documents.
-Weights are fitted by rounds of parameter averaging: every task takes Adam steps, and
-Adagrad steps for the rows of subwords and nodes that it meets.  Each round takes another
-share of the windows, and together they take every subword of every training document
-once.  Rows are averaged over the tasks that met them.  Averages are summed in groups before they reach the driver
-(some 100,000 rows of DIM + 1 numbers for a vocabulary of 50,000, whatever the input).  Scoring runs over all tokens of all documents:
-windows overlap, each token is scored once, with at least WIDTH - STRIDE tokens before
-it where the text has them.
+Every subword is predicted from a context window of the WIDTH subwords before it at most
+and HALF + 1 at least (where its text has them): windows begin every HALF places, overlap by half, and
+score the second half of their places, so each token is scored once.  One layer of masked
+attention (one head: its query and key matrices are one product, and so are its value and
+output matrices) reads a vector for each subword, and a learned term for each pair of
+places.  What it yields predicts the class of the next subword by a softmax, and the
+subword inside its class by a Huffman tree whose nodes have learned vectors (a
+hierarchical softmax, so probabilities of all ids add up to one).  Classes hold about
+equal mass; vectors of subwords begin as those of their class, nodes at the shares of their
+sides in all training documents.
+
+Weights are fitted by rounds of parameter averaging over blocks: Adam steps, and Adagrad
+steps for the subwords and nodes that are met.  Each round takes another third of the
+training windows of every block, and together they take every subword of every training
+document once.  Vectors are averaged over the blocks that met them; sums are made in a
+fixed order, in groups, before they reach the driver (some 100,000 rows of DIM + 1 numbers
+for a vocabulary of 50,000, whatever the input).
 
 Cases: null text is empty: one end token; rows without doc_id count as training; repeated
 rows count each time; if nothing is in the training part, counts are 0 and the model is
-uniform; an empty table gives an empty result; extra columns are left out.
+uniform inside classes; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow_text import Words, texts_of
@@ -41,14 +47,17 @@ from tidemark.llm.store import save
 
 #: Remainder of crc32(doc_id as text) mod FOLDS that is held out.
 FOLDS, HELD_OUT = 7, 2
-CLASSES, DIM, WIDTH, STRIDE = 64, 16, 16, 8
-#: Rounds of averaging, each over one window in so many; windows in a step.
+CLASSES, DIM, HALF = 64, 16, 16
+WIDTH = 2 * HALF
+#: Rounds of averaging, each over one step in so many; half windows in a step.
 ROUNDS, BATCH = 3, 256
-#: Bytes of text in a block.
-BLOCK = 2 << 20
-GROUPS = 64
-#: Rows of subwords and nodes that are averaged together, and their rate.
-SLICE, ROW_RATE = 8192, 0.05
+#: Bytes of text in a block, about.
+BLOCK = 8 << 20
+GROUPS, SALTS = 64, 8
+#: Rows with the same id and text above which they are dealt to different blocks.
+REPEATS = 1000
+#: Vectors of subwords and nodes that are averaged together, and their rate beside that of the weights.
+SLICE, ROW_RATE = 8192, 10.0
 
 
 def default_path() -> str:
@@ -83,6 +92,26 @@ def make_block(ids: list[int | None], texts: list[bytes], enc, spaced: np.ndarra
     return ids, train.tobytes(), n.tobytes(), index.astype(np.int32).tobytes(), hashes.tobytes(), counts.tobytes(), subs.astype(sub_type(len(spaced))).tobytes(), sub_n.astype(np.int32).tobytes(), int(n[train].sum() + train.sum())
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """(block, doc_id, text, h): rows with the number of their block."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("h", F.xxhash64("text"))
+    size = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    n = max(1, math.ceil(size / BLOCK))
+    # Rows that are the same many times over would make one block too large: they are dealt anew by number.
+    many = save(own.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where(F.col("n") > REPEATS))
+    rows = own.withColumn("k", F.lit(0).cast("long"))
+    if many.take(1):
+        same = own["doc_id"].eqNullSafe(many["doc_id"]) & (own["h"] == many["h"])
+        hot = many.join(own.join(F.broadcast(many), same, "left_semi").dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("i"), "text", F.col("h").alias("g")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
+        rows = own.join(many, same, "left_anti").withColumn("k", F.lit(0).cast("long")).unionByName(hot.select("doc_id", "text", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k")))
+    return rows.select(F.pmod(F.xxhash64("doc_id", "h", "k"), F.lit(n)).alias("block"), "doc_id", "text", "h").repartition(min(n, _tasks(own.sparkSession, n)), "block").sortWithinPartitions("block", "doc_id", "h")
+
+
+def _tasks(spark: SparkSession, blocks: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
+
+
 def blocks(docs: DataFrame, path: str) -> DataFrame:
     """One row for each block of documents."""
     with open(path, "rb") as f:
@@ -96,27 +125,25 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
         enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         spaced = np.zeros(max(ranks.values()) + 1, bool)
         spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        ids: list = []
-        texts: list[bytes] = []
-        size = 0
+        now, ids, texts = None, [], []
 
         def flush():
             row = make_block(ids, texts, enc, spaced)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _BLOCK_FIELDS, strict=True)], names=[k for k, _ in _BLOCK_FIELDS])
+            columns = [pa.array([v], t) for v, (_, t) in zip(row, _BLOCK_FIELDS, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([now], pa.int64())], names=[k for k, _ in _BLOCK_FIELDS] + ["block"])
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            for block, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+                if block != now and ids:
+                    yield flush()
+                    ids, texts = [], []
+                now = block
                 ids.append(i)
                 texts.append(t)
-                size += len(t) + 1
-                if size >= BLOCK:
-                    yield flush()
-                    ids, texts, size = [], [], 0
         if ids:
             yield flush()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return save(own.mapInArrow(run, _BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id()))
+    return save(dealt(docs).select("block", "doc_id", "text").mapInArrow(run, _BLOCK_SCHEMA + ", block long"))
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +155,16 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block)), pa.array(np.arange(k, k + len(x))), pa.array(x), pa.array(y)], names=["block", "i", "h", "c"])
 
 
-def word_counts(table: DataFrame) -> DataFrame:
-    """(block, known, fresh): counts of each block's words over all training documents, as i << 40 | count; fresh adds up to the number of distinct training words."""
+def word_counts(table: DataFrame) -> tuple[DataFrame, int]:
+    """((block, known), number of distinct training words): counts of each block's words over all training documents, as i << 40 | count."""
     rows = table.select("block", "hashes", "counts").mapInArrow(_vocabulary, "block long, i long, h long, c long")
-    same = Window.partitionBy("h")
-    rows = rows.withColumn("all", F.sum("c").over(same)).withColumn("one", F.row_number().over(same.orderBy("block", "i")) == 1)
+    # Every word's rows, one for each block that has it, meet twice at most: as partial sums, and as many salted joins.
+    sums = save(rows.groupBy("h").agg(F.sum("c").alias("all")))
+    salt = F.pmod("block", F.lit(SALTS))
+    salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = rows.withColumn("salt", salt).join(salted, ["h", "salt"])
     packed = F.shiftleft(F.col("i"), 40) + F.col("all")
-    return save(rows.groupBy("block").agg(F.collect_list(packed).alias("known"), F.sum(F.when(F.col("one") & (F.col("all") > 0), 1).otherwise(0).cast("long")).alias("fresh")))
+    return save(both.groupBy("block").agg(F.collect_list(packed).alias("known"))), sums.where(F.col("all") > 0).count()
 
 
 def subword_counts(table: DataFrame, size: int) -> np.ndarray:
@@ -198,141 +228,181 @@ class Codes:
         self.node, self.sign, self.first = np.array(node, np.int32), np.array(sign, np.float32), np.array(first, np.int64)
         self.bias = np.array(bias, np.float32)
 
-    def rows(self) -> np.ndarray:
-        """Rows of all ids, of the start, and of all nodes, as they begin."""
-        out = np.zeros((len(self.which) + 1 + len(self.bias), DIM + 1), np.float32)
-        out[len(self.which) + 1 :, DIM] = self.bias
-        return out
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of all ids (the last two: end and start of a document) and nodes (the last column: their odds), as they begin."""
+        rng = np.random.Generator(np.random.PCG64(11))
+        of_class = (rng.standard_normal((CLASSES + 1, DIM)) * 0.5).astype(np.float32)
+        nodes = np.zeros((len(self.bias), DIM + 1), np.float32)
+        nodes[:, DIM] = self.bias
+        return of_class[np.append(self.which, CLASSES)], nodes
 
-    def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number in ids, row of the node, sign) of every step on the ways to ids."""
-        n = (self.first[1:] - self.first[:-1])[ids]
-        at = np.repeat(self.first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(ids)), n), self.node[at] + (len(self.which) + 1), self.sign[at]
+    def length(self, ids: np.ndarray) -> np.ndarray:
+        return self.first[ids + 1] - self.first[ids]
 
 
-def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys and the sums of their rows of values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return keys[begin], np.add.reduceat(values[order], begin, axis=0) if len(begin) else values
+def summed(keys: np.ndarray, columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys (below ``size``), the sums of their columns, and how often each occurs."""
+    there = np.zeros(size, bool)
+    there[keys] = True
+    met = np.flatnonzero(there)
+    place = np.zeros(size, np.int64)
+    place[met] = np.arange(len(met))
+    at = place[keys]
+    return met, np.stack([np.bincount(at, c, len(met)).astype(np.float32) for c in columns], axis=1), np.bincount(at, minlength=len(met)).astype(np.float32)
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """Half windows (n + 1, HALF, DIM) as n windows that overlap, without a copy."""
+    x = x.reshape(-1, HALF, DIM)
+    a, b, c = x.strides
+    return np.lib.stride_tricks.as_strided(x, (len(x) - 1, WIDTH, DIM), (a, b, c), writeable=False)
+
+
+def _merged(parts: np.ndarray) -> np.ndarray:
+    """Windows (n, WIDTH, DIM) added up to the half windows they consist of."""
+    out = np.zeros((len(parts) + 1, HALF, DIM), np.float32)
+    out[:-1] = parts[:, :HALF]
+    out[1:] += parts[:, HALF:]
+    return out.reshape(-1, DIM)
 
 
 class Attention:
-    """One layer of causal self-attention; class n stands for the start.  With ``codes``, over ids: ``rows`` are theirs, those of the start and of the nodes."""
+    """One layer of causal self-attention over windows of subword ids.
+
+    A step takes n half windows that follow one another and the one before them:
+    ``seen`` (n + 1, HALF) are the ids before each place, ``fresh`` says which of the n
+    begin a document and so don't look back.
+    """
 
-    SHAPES = {"emb": (CLASSES + 1, DIM), "pos": (WIDTH, DIM), "wq": (DIM, DIM), "wk": (DIM, DIM), "wv": (DIM, DIM), "wo": (DIM, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,)}
-    _causal = np.tril(np.ones((WIDTH, WIDTH), np.float32))
-    _mask = np.float32(-1e9) * (1 - _causal)
+    SHAPES = {"qk": (DIM, DIM), "v": (DIM, DIM), "place": (HALF, WIDTH), "out": (DIM, CLASSES), "bias": (CLASSES,)}
+    _mask = (np.arange(WIDTH) <= np.arange(HALF)[:, None] + HALF).astype(np.float32)
+    _scale = np.float32(DIM**-0.5)
 
-    def __init__(self, flat: np.ndarray | None = None, codes: Codes | None = None, rows: np.ndarray | None = None):
+    def __init__(self, codes: Codes, flat: np.ndarray | None = None, vectors: np.ndarray | None = None, nodes: np.ndarray | None = None):
         if flat is None:
             rng = np.random.Generator(np.random.PCG64(7))
-            flat = np.concatenate([(rng.standard_normal(math.prod(s)) * (0.0 if k == "bias" else 0.25)).astype(np.float32) for k, s in self.SHAPES.items()])
-        self.flat = flat.astype(np.float32).copy()
-        self.codes, self.rows = codes, codes.rows() if rows is None and codes else rows
+            flat = np.concatenate([(rng.standard_normal(math.prod(s)) * (0.0 if k in ("bias", "place") else 0.25)).astype(np.float32) for k, s in self.SHAPES.items()])
+        if vectors is None:
+            vectors, nodes = codes.start()
+        self.codes, self.flat, self.vectors, self.nodes = codes, flat.astype(np.float32).copy(), vectors.copy(), nodes.copy()
         self.p, at = {}, 0
         for k, s in self.SHAPES.items():
             self.p[k] = self.flat[at : at + math.prod(s)].reshape(s)
             at += math.prod(s)
 
-    def hidden(self, c: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
-        """Vectors at every place of windows of classes c (and ids), from which the next class and id are read."""
+    def hidden(self, seen: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Vectors (n * HALF, DIM) from which the next subword is read."""
         p = self.p
-        x = p["emb"][c] + p["pos"]
-        if ids is not None:
-            x += self.rows[ids, :DIM]
-        q, k, v = x @ (p["wq"] * np.float32(DIM**-0.5)), x @ p["wk"], x @ p["wv"]
-        a = q @ k.transpose(0, 2, 1)
-        if np.abs(a).max(initial=0) > 60:  # no row can overflow below that
-            a -= (a + self._mask).max(axis=2, keepdims=True)
-            np.minimum(a, 60, out=a)
+        x = self.vectors[seen.ravel()]
+        q, v = (x[HALF:] @ (p["qk"] * self._scale)).reshape(-1, HALF, DIM), x @ p["v"]
+        a = q @ _windows(x).transpose(0, 2, 1)
+        a += p["place"]
+        np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        a *= self._causal
-        a /= a.sum(axis=2, keepdims=True)
-        o = a @ v
-        return x + o @ p["wo"], (c, x, q, k, v, a, o)
+        a *= self._mask
+        a[fresh, :, :HALF] = 0
+        a /= (a @ np.ones(WIDTH, np.float32))[:, :, None]
+        return x[HALF:] + (a @ _windows(v)).reshape(-1, DIM), (x, q, v, a)
 
-    def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of the target class for rows of ``hidden``."""
+    def classes(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(natural log probability of the target class, exponentials of all, their sums)."""
         z = h @ self.p["out"]
         z += self.p["bias"]
-        if np.abs(z).max(initial=0) > 60:
-            z -= z.max(axis=1, keepdims=True)
+        np.clip(z, -60, 60, out=z)
         got = z[np.arange(len(z)), target]
         np.exp(z, out=z)
-        return got - np.log(z.sum(axis=1))
-
-    def inside(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Natural log probability of the target id inside its class for rows of ``hidden``."""
-        at, row, sign = self.codes.ways(target)
-        w = self.rows[row]
-        z = np.einsum("ij,ij->i", h[at], w[:, :DIM])
-        z += w[:, DIM]
-        z *= sign
-        odds = np.exp(-np.clip(z, -60, 60))
-        return -np.bincount(at, np.log1p(odds), len(h)), (at, row, sign, w, odds)
-
-    def forward(self, c: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
-        """Log probabilities (natural) of every next class at every place of windows c."""
-        h, rest = self.hidden(c, ids)
-        z = (h.reshape(-1, DIM) @ self.p["out"]).reshape(*c.shape, CLASSES)
-        z += self.p["bias"]
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (*rest, h)
-
-    def gradient(self, c: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray]:
-        return self.gradients(c, target, live)[:2]
-
-    def gradients(self, c: np.ndarray, target: np.ndarray, live: np.ndarray, ids: np.ndarray | None = None, wanted: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(loss, gradient of flat, rows met, their gradients, how often each was met)."""
-        p = self.p
-        h, (c, x, q, k, v, a, o) = self.hidden(c, ids)
-        n = max(1, int(live.sum()))
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        dz = flat(h) @ p["out"]
-        dz += p["bias"]
-        if np.abs(dz).max(initial=0) > 60:
-            dz -= dz.max(axis=1, keepdims=True)
-        place, goal, use = np.arange(len(dz)), target.ravel(), live.ravel()
-        got = dz[place, goal]
-        np.exp(dz, out=dz)
-        total = dz.sum(axis=1)
-        loss = -float((got - np.log(total))[use].sum()) / n
-        dz *= (use / np.float32(n) / total).astype(np.float32)[:, None]
-        dz[place, goal] -= (use / np.float32(n)).astype(np.float32)
-        g = {"out": flat(h).T @ dz, "bias": dz.sum(axis=0)}
-        dh = (dz @ p["out"].T).reshape(h.shape)
-        met, slope = [], []
-        if ids is not None:
-            near = h[live]
-            got, (at, row, sign, w, odds) = self.inside(near, wanted[live])
-            loss -= float(got.sum()) / n
-            ds = (-sign * odds / (1 + odds) / np.float32(n)).astype(np.float32)[:, None]
-            back = np.zeros_like(near)
-            begin = np.flatnonzero(np.diff(at, prepend=-1))
-            if len(begin):
-                back[at[begin]] = np.add.reduceat(ds * w[:, :DIM], begin, axis=0)
-            dh[live] += back
-            met.append(row)
-            slope.append(ds * np.concatenate([near[at], np.ones((len(at), 1), np.float32)], axis=1))
-        g["wo"] = flat(o).T @ flat(dh)
-        do = dh @ p["wo"].T
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q  # q holds the scale already
-        g["wq"], g["wk"], g["wv"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
-        g["pos"] = dx.sum(axis=0)
-        g["emb"] = np.stack([np.bincount(c.ravel(), flat(dx)[:, j], CLASSES + 1) for j in range(DIM)], axis=1)
-        if ids is not None:
-            met.append(ids.ravel()[use])
-            slope.append(np.pad(flat(dx)[use], ((0, 0), (0, 1))))
-        met, slope = (np.concatenate(met), np.concatenate(slope)) if met else (np.zeros(0, np.int64), np.zeros((0, DIM + 1), np.float32))
-        met, slope = summed(met, np.pad(slope, ((0, 0), (0, 1)), constant_values=1))
-        return loss, np.concatenate([np.asarray(g[s], np.float32).ravel() for s in self.SHAPES]), met, slope[:, :-1], slope[:, -1]
+        total = z @ np.ones(CLASSES, np.float32)
+        return got - np.log(total), z, total
+
+    def inside(self, h: np.ndarray, target: np.ndarray, scale: np.ndarray | None = None) -> tuple:
+        """Natural log probability of the target ids inside their classes.
+
+        With ``scale`` (the weight of each place) also the gradients: (dh, nodes met, their
+        slopes, how often).  Places are taken by the length of their ways, so that each step down
+        the trees is one block of rows.
+        """
+        codes = self.codes
+        size = codes.length(target) if scale is None else np.where(scale > 0, codes.length(target), 0)
+        order = np.argsort((255 - size).astype(np.uint8), kind="stable")
+        more = len(size) - np.cumsum(np.bincount(size))  # places with more than k steps
+        h, first, got = h[order], codes.first[target[order]], np.zeros(len(target), np.float32)
+        dh, keys, slopes = np.zeros_like(h), [], []
+        for k, m in enumerate(more[:-1]):
+            node, sign = codes.node[first[:m] + k], codes.sign[first[:m] + k]
+            w = self.nodes[node]
+            odds = np.einsum("ij,ij->i", h[:m], w[:, :DIM])
+            odds += w[:, DIM]
+            odds *= -sign
+            np.exp(np.clip(odds, -60, 60, out=odds), out=odds)
+            got[:m] -= np.log1p(odds)
+            if scale is not None:
+                ds = (-sign * scale[order[:m]] * odds / (1 + odds)).astype(np.float32)[:, None]
+                dh[:m] += ds * w[:, :DIM]
+                keys.append(node)
+                slopes.append(np.concatenate([ds * h[:m], ds], axis=1))
+        out = np.empty_like(got)
+        out[order] = got
+        if scale is None:
+            return (out,)
+        back = np.empty_like(dh)
+        back[order] = dh
+        if not keys:
+            return out, back, np.zeros(0, np.int64), np.zeros((0, DIM + 1), np.float32), np.zeros(0, np.float32)
+        every = np.ascontiguousarray(np.concatenate(slopes).T)
+        return out, back, *summed(np.concatenate(keys), list(every), len(self.nodes))
+
+    def log_probability(self, seen: np.ndarray, fresh: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log probability of the target id at every place."""
+        h, _ = self.hidden(seen, fresh)
+        target = target.ravel()
+        return self.classes(h, self.codes.which[target])[0] + self.inside(h, target)[0]
+
+    def gradients(self, seen: np.ndarray, fresh: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray, tuple, tuple]:
+        """(loss, gradient of flat, those of vectors, those of nodes); the last two as (rows met, slopes, how often)."""
+        p, target, live = self.p, target.ravel(), live.ravel()
+        h, (x, q, v, a) = self.hidden(seen, fresh)
+        cls = self.codes.which[target]
+        scale = (live / np.float32(max(1, int(live.sum())))).astype(np.float32)
+        got, dz, total = self.classes(h, cls)
+        within, dh, *nodes = self.inside(h, target, scale)
+        loss = -float(((got + within) * scale).sum(dtype=np.float64))
+        dz *= (scale / total)[:, None]
+        dz[np.arange(len(dz)), cls] -= scale
+        g = {"out": h.T @ dz, "bias": np.ones(len(dz), np.float32) @ dz}
+        dh += dz @ p["out"].T
+        do = dh.reshape(-1, HALF, DIM)
+        da = do @ _windows(v).transpose(0, 2, 1)
+        da -= ((da * a) @ np.ones(WIDTH, np.float32))[:, :, None]
+        da *= a
+        dv = _merged(a.transpose(0, 2, 1) @ do)
+        dq = (da @ _windows(x)).reshape(-1, DIM)
+        dx = _merged(da.transpose(0, 2, 1) @ q)
+        g["place"] = np.ones(len(da), np.float32) @ da.reshape(len(da), -1)
+        g["qk"], g["v"] = x[HALF:].T @ dq * self._scale, x.T @ dv
+        dx += dv @ p["v"].T
+        dx[HALF:] += dh
+        dx[HALF:] += dq @ (p["qk"] * self._scale).T
+        vectors = summed(seen.ravel(), list(np.ascontiguousarray(dx.T)), len(self.vectors))
+        return loss, np.concatenate([np.asarray(g[k], np.float32).ravel() for k in self.SHAPES]), vectors, tuple(nodes)
+
+
+class Steps:
+    """State of the optimiser while one block is trained."""
+
+    def __init__(self, model: Attention):
+        self.model, self.n = model, 0
+        self.mean, self.square = np.zeros_like(model.flat), np.zeros_like(model.flat)
+        self.sums = [np.zeros((len(t), 2), np.float32) for t in (model.vectors, model.nodes)]  # times met, mean squares of slopes
+
+    def take(self, flat: np.ndarray, tables: tuple, rate: float) -> None:
+        self.n += 1
+        self.mean += 0.1 * (flat - self.mean)
+        self.square += 0.01 * (flat * flat - self.square)
+        self.model.flat -= rate * (self.mean / (1 - 0.9**self.n)) / (np.sqrt(self.square / (1 - 0.99**self.n)) + 1e-8)
+        for table, sums, (rows, slope, often) in zip((self.model.vectors, self.model.nodes), self.sums, tables, strict=True):
+            sums[rows, 0] += often
+            sums[rows, 1] += np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+            table[rows] -= rate * ROW_RATE * slope / (np.sqrt(sums[rows, 1:]) + 1e-8)
 
 
 def sequences(row: dict, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,71 +423,59 @@ def sequences(row: dict, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return out, np.repeat(np.arange(len(n)), per_doc + 1), ends - per_doc
 
 
-def windows_of(first: np.ndarray, total: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each window's first token, end of its document) for documents that begin at ``first``."""
-    end = np.append(first[1:], total)
-    size = end - first
-    count = 1 + np.maximum(0, -(-(size - WIDTH) // stride))
-    doc = np.repeat(np.arange(len(first)), count)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return first[doc] + number * stride, end[doc]
+class Halves:
+    """The half windows of a block's documents: ``start``, whether ``fresh``, and ``live`` places."""
 
+    def __init__(self, ids: np.ndarray, first: np.ndarray, top: int):
+        self.ids = ids
+        self.seen = np.concatenate([[top], ids[:-1]])[: len(ids)]
+        self.seen[first] = top  # stands for the start of a document
+        end = np.append(first[1:], len(ids))
+        count = -(-(end - first) // HALF)
+        doc = np.repeat(np.arange(len(first)), count)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        self.start, self.end, self.doc, self.fresh = first[doc] + number * HALF, end[doc], doc, number == 0
 
-def before(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
-    """What stands before each place: its predecessor, or ``start`` where a document begins."""
-    out = np.concatenate([[start], ids[:-1]])
-    out[first] = start
-    return out
+    def step(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(seen, fresh, target, live, places) of half windows i to j - 1."""
+        before = self.start[i - 1 : i] if i else self.start[:1]
+        at = np.concatenate([before, self.start[i:j]])[:, None] + np.arange(HALF)
+        live = at[1:] < self.end[i:j, None]
+        at = np.minimum(at, len(self.ids) - 1)
+        return self.seen[at], self.fresh[i:j], self.ids[at[1:]], live, at[1:]
 
 
-def score_block(model: Attention, row: dict, step: int = 512) -> np.ndarray:
+def score_block(model: Attention, row: dict, step: int = BATCH) -> np.ndarray:
     """log10 probability of every document of a block."""
-    which = model.codes.which
-    ids, doc, first = sequences(row, which)
-    cls = which[ids]
-    seen, seen_ids = before(cls, first, CLASSES), before(ids, first, len(which))
-    start, end = windows_of(first, len(ids))
-    fresh = np.isin(start, first)
-    got = np.empty(len(ids), np.float32)
-    place = np.arange(WIDTH)
-    for k in range(0, len(start), step):
-        at = start[k : k + step, None] + place
-        live = (at < end[k : k + step, None]) & (fresh[k : k + step, None] | (place >= WIDTH - STRIDE))
-        at = np.minimum(at, len(ids) - 1)
-        h, _ = model.hidden(seen[at], seen_ids[at])
-        at, h = at[live], h[live]
-        got[at] = model.log_probability(h, cls[at]) + model.inside(h, ids[at])[0]
+    ids, doc, first = sequences(row, model.codes.which)
+    halves = Halves(ids, first, len(model.codes.which))
+    got = np.empty(len(ids), np.float64)
+    for k in range(0, len(halves.start), step):
+        seen, fresh, target, live, at = halves.step(k, k + step)
+        got[at[live]] = model.log_probability(seen, fresh, target)[live.ravel()]
     return np.bincount(doc, got / math.log(10), len(first))
 
 
-def train_block(model: Attention, row: dict, number: int, moments: list[np.ndarray], met: np.ndarray, step: list[int], rate: float) -> int:
-    """Adam steps on the windows of the training documents of a block that ``number`` names, one in ROUNDS; returns their number."""
-    which = model.codes.which
-    ids, doc, first = sequences(row, which)
+def train_block(steps: Steps, row: dict, turn: int, rate: float) -> int:
+    """Takes the steps of this round, one in ROUNDS, over the training documents of a block; returns how many."""
+    model = steps.model
+    ids, doc, first = sequences(row, model.codes.which)
     train = np.frombuffer(row["train"], bool)
-    cls = which[ids]
-    seen, seen_ids = before(cls, first, CLASSES), before(ids, first, len(which))
-    start, end = windows_of(first, len(ids), WIDTH)
-    start, end = start[train[doc[start]]], end[train[doc[start]]]
-    chosen = np.flatnonzero((np.arange(len(start)) + number) % ROUNDS == 0)
-    chosen = np.random.Generator(np.random.PCG64(number)).permutation(chosen)
-    for k in range(0, len(chosen), BATCH):
-        c = chosen[k : k + BATCH]
-        at = start[c, None] + np.arange(WIDTH)
-        live = at < end[c, None]
-        at = np.minimum(at, len(ids) - 1)
-        _, g, rows, slope, often = model.gradients(seen[at], cls[at], live, seen_ids[at], ids[at])
-        step[0] += 1
-        moments[0] += 0.1 * (g - moments[0])
-        moments[1] += 0.01 * (g * g - moments[1])
-        model.flat -= rate * (moments[0] / (1 - 0.9 ** step[0])) / (np.sqrt(moments[1] / (1 - 0.99 ** step[0])) + 1e-8)
-        met[rows, 0] += often
-        met[rows, 1] += np.square(slope).mean(axis=1)
-        model.rows[rows] -= rate * (ROW_RATE / 0.02) * slope / (np.sqrt(met[rows, 1:]) + 1e-8)
-    return len(chosen)
+    keep = train[doc]
+    ids, first = ids[keep], (np.cumsum(keep) - 1)[first[train]]
+    halves = Halves(ids, first, len(model.codes.which))
+    size = min(BATCH, max(16, len(halves.start) // 64))  # a small table takes as many steps as a block does at least
+    mine = np.arange(0, len(halves.start), size)
+    mine = mine[(np.arange(len(mine)) + row["block"]) % ROUNDS == turn]
+    for k in np.random.Generator(np.random.PCG64(row["block"])).permutation(mine):
+        seen, fresh, target, live, _ = halves.step(k, k + size)
+        _, flat, *tables = model.gradients(seen, fresh, target, live)
+        steps.take(flat, tuple(tables), rate)
+    return len(mine)
 
 
 _SEQ = ("n", "tokens", "subs", "sub_n", "train")
+_SUMS = "slice long, g long, block long, at binary, sum binary, n long"
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -425,50 +483,57 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {k: batch.column(k)[i].as_py() for k in batch.schema.names}
 
 
+def _moved(model: Attention, steps: Steps, before: Attention) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(slice, rows, their moves times how often they were met, and that number) of vectors, then nodes."""
+    tops = (0, -(-len(model.vectors) // SLICE))
+    for base, now, was, sums in zip(tops, (model.vectors, model.nodes), (before.vectors, before.nodes), steps.sums, strict=True):
+        at = np.flatnonzero(sums[:, 0])
+        for part in np.split(at, np.flatnonzero(np.diff(at // SLICE)) + 1) if len(at) else []:
+            often = sums[part, :1]
+            yield 1 + base + int(part[0]) // SLICE, part.astype(np.int32).tobytes(), np.concatenate([(now[part] - was[part]) * often, often], axis=1)
+
+
+def _add(pdf):
+    """Sums of one slice, in the order of blocks."""
+    pdf = pdf.sort_values("block")
+    at = np.concatenate([np.frombuffer(b, np.int32) for b in pdf["at"]])
+    values = np.concatenate([np.frombuffer(b, np.float64 if pdf["slice"].iloc[0] == 0 else np.float32).reshape(len(np.frombuffer(a, np.int32)), -1) for a, b in zip(pdf["at"], pdf["sum"], strict=True)])
+    order = np.argsort(at, kind="stable")
+    at, values = at[order], values[order]
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return pdf.iloc[:1].assign(at=[at[begin].tobytes()], sum=[np.add.reduceat(values, begin, axis=0).tobytes()], n=int(pdf["n"].sum()))
+
+
 def fit(table: DataFrame, codes: Codes) -> Attention:
     """Parameter averaging over all blocks."""
-    model = Attention(codes=codes)
+    model = Attention(codes)
     spark = table.sparkSession
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model.flat, codes, model.rows))
+        shared = spark.sparkContext.broadcast((codes, model.flat, model.vectors, model.nodes))
 
         def run(batches, shared=shared, turn=turn):
-            flat, codes, rows = shared.value
-            own = Attention(flat, codes, rows.copy())
-            moments, step, n, name = [np.zeros_like(own.flat), np.zeros_like(own.flat)], [0], 0, 0
-            met = np.zeros((len(rows), 2), np.float32)
+            start = Attention(*shared.value)
             for batch in batches:
                 for row in _rows(batch):
-                    name = row["block"]
-                    n += train_block(own, row, zlib.crc32(str(name).encode()) + turn, moments, met, step, 0.02 / (turn + 1))
-            if n:
-                out = [(0, b"", own.flat.astype(np.float64) * n, n)]
-                at = np.flatnonzero(met[:, 0])
-                moved = np.concatenate([(own.rows[at] - rows[at]) * met[at, :1], met[at, :1]], axis=1)
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // SLICE)) + 1):
-                    out.append((1 + int(at[part[0]]) // SLICE, at[part].astype(np.int32).tobytes(), moved[part], 0))
-                columns = [pa.array([k for k, *_ in out]), pa.array([name % GROUPS] * len(out)), pa.array([a for _, a, *_ in out], pa.binary()), pa.array([x.tobytes() for *_, x, _ in out], pa.binary()), pa.array([w for *_, w in out])]
-                yield pa.RecordBatch.from_arrays(columns, names=["slice", "g", "at", "sum", "n"])
-
-        def add(pdf):
-            if pdf["slice"].iloc[0] == 0:
-                at, total = b"", np.sum([np.frombuffer(b, np.float64) for b in pdf["sum"]], axis=0)
-            else:
-                at, total = summed(np.concatenate([np.frombuffer(b, np.int32) for b in pdf["at"]]), np.concatenate([np.frombuffer(b, np.float32).reshape(-1, DIM + 2) for b in pdf["sum"]]))
-                at = at.tobytes()
-            return pdf.iloc[:1].assign(at=[at], sum=[total.tobytes()], n=int(pdf["n"].sum()))
-
-        schema = "slice long, g long, at binary, sum binary, n long"
-        got = table.select("block", *_SEQ).mapInArrow(run, schema).groupBy("slice", "g").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema).collect()
-        flat = next((r for r in got if r["slice"] == 0), None)
-        if flat is None:
-            return model
-        rows = model.rows.copy()
-        for r in got:
-            if r["slice"]:
-                moved = np.frombuffer(r["sum"], np.float32).reshape(-1, DIM + 2)
-                rows[np.frombuffer(r["at"], np.int32)] += moved[:, :-1] / moved[:, -1:]
-        model = Attention((np.frombuffer(flat["sum"], np.float64) / flat["n"]).astype(np.float32), codes, rows)
+                    own = Attention(*shared.value)
+                    steps = Steps(own)
+                    n = train_block(steps, row, turn, 0.02 / (turn + 1))
+                    if not n:
+                        continue
+                    out = [(0, np.zeros(1, np.int32).tobytes(), own.flat.astype(np.float64) * n, n), *((k, at, x, 0) for k, at, x in _moved(own, steps, start))]
+                    columns = [pa.array([k for k, *_ in out]), pa.array([row["block"] % GROUPS] * len(out)), pa.array([row["block"]] * len(out)), pa.array([a for _, a, *_ in out], pa.binary()), pa.array([x.tobytes() for *_, x, _ in out], pa.binary()), pa.array([w for *_, w in out])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["slice", "g", "block", "at", "sum", "n"])
+
+        got = table.select("block", *_SEQ).mapInArrow(run, _SUMS).groupBy("slice", "g").applyInPandas(_add, _SUMS).groupBy("slice").applyInPandas(_add, _SUMS).collect()
+        tops = -(-len(model.vectors) // SLICE)
+        for r in sorted(got, key=lambda r: r["slice"]):
+            if r["slice"] == 0:
+                flat = (np.frombuffer(r["sum"], np.float64) / r["n"]).astype(np.float32)
+                model = Attention(codes, flat, model.vectors, model.nodes)
+                continue
+            into = model.vectors if r["slice"] <= tops else model.nodes
+            moved = np.frombuffer(r["sum"], np.float32).reshape(-1, into.shape[1] + 1)
+            into[np.frombuffer(r["at"], np.int32)] += moved[:, :-1] / moved[:, -1:]
     return model
 
 
@@ -476,15 +541,15 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     table = blocks(docs, path or default_path())
-    known = word_counts(table)
+    known, distinct = word_counts(table)
     n_train = int(table.agg(F.sum("n_train")).first()[0] or 0)
     with open(path or default_path(), "rb") as f:
         size = 1 + max(int(line.split()[1]) for line in f)
     counts = subword_counts(table, size)
     n_docs_train = int(counts[-1])
-    distinct = int(known.agg(F.sum("fresh")).first()[0] or 0) + (n_docs_train > 0)
+    distinct += n_docs_train > 0
     model = fit(table, Codes(counts))
-    shared = spark.sparkContext.broadcast((model.flat, model.codes, model.rows))
+    shared = spark.sparkContext.broadcast((model.codes, model.flat, model.vectors, model.nodes))
 
     def run(batches):
         model = Attention(*shared.value)
