@@ -363,33 +363,80 @@ def test_lm_base_scores(docs_of, monkeypatch):
     assert lm.score(docs_of([])).count() == 0
 
 
-def test_lm_gradient():
-    rng = np.random.default_rng(1)
-    model = lm.Attention()
-    c, t = rng.integers(0, lm.CLASSES + 1, (4, lm.WIDTH)), rng.integers(0, lm.CLASSES, (4, lm.WIDTH))
-    live = rng.random((4, lm.WIDTH)) < 0.8
-    _, g = model.gradient(c, t, live)
-    at = np.argsort(-np.abs(g))[::97][:12]
-    for i in at:
-        up, down = lm.Attention(model.flat), lm.Attention(model.flat)
-        up.flat[i] += 1e-2
-        down.flat[i] -= 1e-2
-        assert (up.gradient(c, t, live)[0] - down.gradient(c, t, live)[0]) / 2e-2 == pytest.approx(g[i], rel=0.05, abs=2e-4)
-
-
-def test_lm_is_causal_and_scores_each_token_once():
-    model = lm.Attention()
-    c = np.random.default_rng(2).integers(0, lm.CLASSES, (1, lm.WIDTH))
-    other = c.copy()
-    other[0, 10:] = (other[0, 10:] + 1) % lm.CLASSES
-    assert np.allclose(model.forward(c)[0][0, :10], model.forward(other)[0][0, :10], atol=1e-5)
+def lm_model(size, seed):
+    rng = np.random.default_rng(seed)
+    codes = lm.Codes(rng.integers(0, 50, size + 1))
+    vectors, nodes = codes.start()
+    return lm.Attention(codes, None, vectors + rng.normal(0, 0.3, vectors.shape).astype(np.float32), nodes + rng.normal(0, 0.3, nodes.shape).astype(np.float32))
+
+
+def lm_step(rng, n=5):
+    return rng.integers(0, 300, (n + 1, lm.HALF)), rng.random(n) < 0.3, rng.integers(0, 301, (n, lm.HALF)), rng.random((n, lm.HALF)) < 0.8
+
+
+def test_lm_gradients():
+    rng, model = np.random.default_rng(3), lm_model(300, 3)
+    step = lm_step(rng)
+    _, flat, vectors, nodes = model.gradients(*step)
+    assert nodes[2].sum() == model.codes.length(step[2][step[3]]).sum()
+
+    def slope(table, at):
+        loss = []
+        for by in (1e-2, -1e-2):
+            other = lm.Attention(model.codes, model.flat, model.vectors, model.nodes)
+            getattr(other, table)[at] += np.float32(by)
+            loss.append(other.gradients(*step)[0])
+        return (loss[0] - loss[1]) / 2e-2
+
+    for i in rng.permutation(len(flat))[:40]:
+        assert slope("flat", i) == pytest.approx(flat[i], rel=0.05, abs=3e-4)
+    for table, (rows, g, often) in (("vectors", vectors), ("nodes", nodes)):
+        assert len(set(rows)) == len(rows) == len(often)
+        for k in rng.permutation(len(rows))[:12]:
+            for j in (0, 7, g.shape[1] - 1):
+                assert slope(table, (rows[k], j)) == pytest.approx(g[k, j], rel=0.05, abs=3e-4)
+
+
+def test_lm_looks_back_only_and_not_into_other_documents():
+    rng, model = np.random.default_rng(2), lm_model(300, 2)
+    seen, fresh, target, _ = lm_step(rng, 3)
+    fresh[:] = [False, False, True]
+    p = model.log_probability(seen, fresh, target).reshape(3, lm.HALF)
+    later, before = seen.copy(), seen.copy()
+    later[2, 10:] = (later[2, 10:] + 1) % 300
+    before[0] = (before[0] + 1) % 300
+    q, r = (model.log_probability(x, fresh, target).reshape(3, lm.HALF) for x in (later, before))
+    assert np.allclose(p[0], q[0], atol=1e-5) and np.allclose(p[1, :10], q[1, :10], atol=1e-5) and not np.allclose(p[1, 10:], q[1, 10:], atol=1e-3)
+    assert np.allclose(p[2], q[2], atol=1e-5)  # begins a document
+    assert not np.allclose(p[0], r[0], atol=1e-3) and np.allclose(p[1:], r[1:], atol=1e-5)
+
+
+def test_lm_half_windows_score_each_token_once():
     for sizes in ([1], [16], [17], [28], [29, 1, 100, 5]):
-        first = np.cumsum([0, *sizes])[:-1]
-        start, end = lm.windows_of(first, sum(sizes))
-        hits = Counter()
-        for s, e in zip(start, end, strict=True):
-            hits.update(range(s if s in first else s + lm.WIDTH - lm.STRIDE, min(s + lm.WIDTH, e)))
-        assert hits == Counter(range(sum(sizes)))
+        first, ids = np.cumsum([0, *sizes])[:-1], np.arange(sum(sizes))
+        for step in (1, 2, 100):
+            halves, hits = lm.Halves(ids, first, 999), Counter()
+            for k in range(0, len(halves.start), step):
+                seen, fresh, target, live, at = halves.step(k, k + step)
+                hits.update(target[live].tolist())
+                assert (seen[1:][live] == np.where(np.isin(target, first), 999, target - 1)[live]).all()
+                # a half window that begins no document has the whole one before it in view
+                place = at[:, :1] - lm.HALF + np.arange(lm.HALF)
+                assert (seen[:-1][~fresh] == np.where(np.isin(place, first), 999, place - 1)[~fresh]).all()
+            assert hits == Counter(ids.tolist())
+
+
+def test_lm_scores_do_not_follow_the_layout(docs_of):
+    rows = [(i, prose(i % 90, 40 + i % 50)) for i in range(150)] + ODD
+    a, b, c = (sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in lm.score(docs).collect()) for docs in (docs_of(rows).coalesce(1), docs_of(rows).repartition(5), docs_of(rows[::-1]).coalesce(3)))
+    assert a == b == c
+
+
+def test_lm_rows_repeated_many_times(docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "REPEATS", 5)
+    rows = [(i, prose(i, 30)) for i in range(20)] + [(7, prose(7, 30))] * 30 + [(None, "a b")] * 9
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["base_score"], 6)) for r in lm.score(docs_of(rows)).collect())
+    assert got == Counter((d, n, round(s, 6)) for d, _, n, _, _, s in brute_base_scores(rows))
 
 
 def test_lm_learns_order(docs_of):
@@ -402,40 +449,18 @@ def test_lm_learns_order(docs_of):
     assert np.mean([got[k] - got[10_000 + k] for k in held]) > 5
 
 
-def test_lm_gradient_over_ids():
-    rng = np.random.default_rng(3)
-    codes = lm.Codes(rng.integers(0, 50, 300))
-    rows = codes.rows()
-    model = lm.Attention(None, codes, rows + (rng.standard_normal(rows.shape) * 0.3).astype(np.float32))
-    ids, wanted = rng.integers(0, 300, (4, lm.WIDTH)), rng.integers(0, 300, (4, lm.WIDTH))
-    c, t, live = codes.which[ids], codes.which[wanted], rng.random((4, lm.WIDTH)) < 0.8
-    _, flat, met, slope, often = model.gradients(c, t, live, ids, wanted)
-    assert len(set(met)) == len(met) and often.sum() == live.sum() + np.diff(codes.first)[wanted[live]].sum()
-    pick = [(int(met[i]), j) for i in range(0, len(met), 17) for j in range(lm.DIM if met[i] <= 300 else lm.DIM + 1)]
-    got = {int(r): g for r, g in zip(met, slope, strict=True)}
-    for r, j in pick[::9]:
-        loss = []
-        for by in (1e-2, -1e-2):
-            other = model.rows.copy()
-            other[r, j] += by
-            loss.append(lm.Attention(model.flat, codes, other).gradients(c, t, live, ids, wanted)[0])
-        assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(got[r][j], rel=0.05, abs=2e-4)
-
-
 def test_lm_probabilities_of_all_ids_add_up():
-    rng = np.random.default_rng(4)
-    codes = lm.Codes(rng.integers(0, 1000, 500))
-    rows = codes.rows()
-    model = lm.Attention(None, codes, rows + (rng.standard_normal(rows.shape) * 0.3).astype(np.float32))
-    h = np.repeat(model.hidden(codes.which[:16][None], np.arange(16)[None])[0][0, 9:10], 500, axis=0)
-    p = np.exp(model.log_probability(h, codes.which) + model.inside(h, np.arange(500))[0])
+    rng, model = np.random.default_rng(4), lm_model(500, 4)
+    seen, fresh, _, _ = lm_step(rng, 1)
+    h = np.repeat(model.hidden(seen, fresh)[0][9:10], 501, axis=0)
+    p = np.exp(model.classes(h, model.codes.which)[0] + model.inside(h, np.arange(501))[0])
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
 def lm_row(docs):
     """Block of training documents given as subword ids."""
     n = np.array([len(d) for d in docs], np.int32)
-    return {"n": n.tobytes(), "tokens": np.concatenate(docs).astype(np.int32).tobytes(), "subs": np.arange(300).astype(np.uint16).tobytes(), "sub_n": np.ones(300, np.int32).tobytes(), "train": np.ones(len(n), bool).tobytes()}
+    return {"block": 1, "n": n.tobytes(), "tokens": np.concatenate(docs).astype(np.int32).tobytes(), "subs": np.arange(300).astype(np.uint16).tobytes(), "sub_n": np.ones(300, np.int32).tobytes(), "train": np.ones(len(n), bool).tobytes()}
 
 
 def test_lm_tells_ids_of_one_class_apart():
@@ -444,10 +469,10 @@ def test_lm_tells_ids_of_one_class_apart():
     codes = lm.Codes(np.full(301, 100))
     follows = rng.permutation(300)
     text = lambda: np.stack([x := rng.integers(0, 300, 100), follows[x]], axis=1).ravel()
-    row, model = lm_row([text() for _ in range(400)]), lm.Attention(codes=codes)
-    moments, met, step = [np.zeros_like(model.flat), np.zeros_like(model.flat)], np.zeros((len(model.rows), 2), np.float32), [0]
+    row, model = lm_row([text() for _ in range(400)]), lm.Attention(codes)
+    steps = lm.Steps(model)
     for number in range(4 * lm.ROUNDS):
-        lm.train_block(model, row, number, moments, met, step, 0.02)
+        lm.train_block(steps, row, number % lm.ROUNDS, 0.02)
     good = [text() for _ in range(20)]
     bad = [np.where(np.arange(200) % 2, [rng.choice(np.flatnonzero(codes.which[:-1] == codes.which[i])) for i in d], d) for d in good]
     assert all((codes.which[a] == codes.which[b]).all() for a, b in zip(good, bad, strict=True))
@@ -457,22 +482,23 @@ def test_lm_tells_ids_of_one_class_apart():
 def test_lm_rounds_train_on_every_token_once(monkeypatch):
     seen = Counter()
 
-    def gradients(self, c, target, live, ids=None, wanted=None):
-        seen.update(wanted[live].tolist())
-        return 0.0, np.zeros_like(self.flat), np.zeros(0, np.int64), np.zeros((0, lm.DIM + 1), np.float32), np.zeros(0, np.float32)
+    def gradients(self, before, fresh, target, live):
+        seen.update(target[live].tolist())
+        none = lambda width: (np.zeros(0, np.int64), np.zeros((0, width), np.float32), np.zeros(0, np.float32))
+        return 0.0, np.zeros_like(self.flat), none(lm.DIM), none(lm.DIM + 1)
 
     monkeypatch.setattr(lm.Attention, "gradients", gradients)
     rng = np.random.default_rng(8)
-    docs = [rng.integers(0, 300, n) for n in (0, 1, 3, 15, 16, 17, 31, 100, 500, 2, 40)]
-    row, model = lm_row(docs), lm.Attention(codes=lm.Codes(np.full(301, 100)))
+    docs = [rng.integers(0, 300, n) for n in (0, 1, 3, 15, 16, 17, 31, 100, 900, 2, 40, 600)]
+    row, model = lm_row(docs), lm.Attention(lm.Codes(np.full(301, 100)))
     row["train"] = np.array([k != 8 for k in range(len(docs))]).tobytes()
     for turn in range(lm.ROUNDS):
-        moments, met = [np.zeros_like(model.flat), np.zeros_like(model.flat)], np.zeros((len(model.rows), 2), np.float32)
-        lm.train_block(model, row, 12345 + turn, moments, met, [0], 0.02)
+        assert lm.train_block(lm.Steps(model), row, turn, 0.02)
     assert seen == Counter(np.concatenate([d for k, d in enumerate(docs) if k != 8]).tolist()) + Counter({300: len(docs) - 1})
 
 
-def test_lm_scores_with_half_a_window_before_each_token():
-    start, _ = lm.windows_of(np.array([0]), 200)
-    for s in start[1:]:
-        assert lm.WIDTH - lm.STRIDE >= lm.WIDTH // 2 and s % lm.STRIDE == 0
+def test_lm_is_likelier_than_the_shares_of_subwords_on_held_out_texts(spark, small):
+    got = lm.op9_lm_scoring(spark, DATA).where("held_out").collect()
+    assert len(got) > 10 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    want = {(d, h, n, k, t, round(s, 6)) for d, h, n, k, t, s in brute_base_scores([(r["doc_id"], r["text"]) for r in small.collect()])}
+    assert {(r["doc_id"], True, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got} == {w for w in want if w[1]}
