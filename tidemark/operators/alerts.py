@@ -21,6 +21,7 @@ from tidemark.operators.query import aggregate_multi
 LEAST_WINDOW = 600
 KEEP_HISTORY = 7 * 86400
 STATES = "rule_id long, series_key string, state string, triggered_at long, resolved_at long, value double"
+RULES = "id long, name string, metric string, labels map<string,string>, aggregate string, condition string, threshold double, duration long, enabled boolean, webhook_url string"
 HISTORY = "rule_id long, series_key string, event string, triggered_at long, value double, acknowledged boolean"
 
 
@@ -46,6 +47,41 @@ class Rule:
         return max(self.duration, LEAST_WINDOW)
 
 
+def _row(spark, rule: Rule) -> DataFrame:
+    labels = {k: v if isinstance(v, str) else v.op.removeprefix("=") + v.value for k, v in rule.labels.items()}
+    return spark.createDataFrame([(rule.id, rule.name, rule.metric, labels, rule.aggregate, rule.condition, float(rule.threshold), rule.duration, rule.enabled, rule.webhook_url)], RULES)
+
+
+def create_rule(rules: DataFrame, rule: Rule) -> DataFrame:
+    """The rules and a new one, whose id is above all others."""
+    top = rules.agg(F.max("id")).first()[0] or 0
+    return rules.unionByName(_row(rules.sparkSession, rule).withColumn("id", F.lit(top + 1).cast("long")))
+
+
+def update_rule(rules: DataFrame, states: DataFrame, rule_id: int, **changes) -> tuple[DataFrame, DataFrame]:
+    """(rules, states) with some fields of a rule changed; a disabled rule has no states."""
+    kinds = {f.name: f.dataType for f in rules.schema}
+    if bad := set(changes) - set(kinds) | {"id"} & set(changes):
+        raise ValueError(f"rules have no {', '.join(sorted(bad))} to change")
+    if changes.get("condition", "above") not in ("above", "below"):
+        raise ValueError(f"unknown condition {changes['condition']!r}")
+    hit = F.col("id") == rule_id
+    out = rules.select(*[F.when(hit, F.lit(changes[c]).cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in rules.columns])
+    return out, states.where(F.col("rule_id") != rule_id) if changes.get("enabled") is False else states
+
+
+def delete_rule(rules: DataFrame, states: DataFrame, rule_id: int) -> tuple[DataFrame, DataFrame]:
+    """(rules, states) without a rule and its states; its history stays."""
+    return rules.where(F.col("id") != rule_id), states.where(F.col("rule_id") != rule_id)
+
+
+def load_rules(rules: DataFrame) -> list[Rule]:
+    """Rules of a table, which people write and so is small; label values that begin with ~, !~ or ! are those of the matchers."""
+    kinds = {"~": "=~", "!~": "!~", "!": "!=", "!=": "!="}
+    matcher = lambda v: next((Matcher(op, v.removeprefix(k)) for k, op in sorted(kinds.items(), key=lambda x: -len(x[0])) if v.startswith(k)), v)
+    return [Rule(r["id"], r["name"], r["metric"], r["condition"], r["threshold"], r["duration"], r["aggregate"], {k: matcher(v) for k, v in (r["labels"] or {}).items()}, r["enabled"], r["webhook_url"]) for r in rules.orderBy("id").collect()]
+
+
 def rule_values(points: DataFrame, rule: Rule, now: int) -> DataFrame:
     """(rule_id, series_key, value): last bucket of the window that ends now.  Buckets follow the epoch, so it usually covers less than the window."""
     rows = aggregate_multi(points, rule.metric, rule.labels, rule.window, rule.aggregate, now - rule.window, now)

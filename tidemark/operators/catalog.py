@@ -59,6 +59,7 @@ def register(metadata: DataFrame, metric: str, metric_type: str = "gauge", unit:
 def infer_type(metric: str = "metric"):
     """(type, unit) that a metric's suffix stands for; the first match wins."""
     m = F.col(metric)
+    # Suffixes and what they stand for.
     kind = F.when(m.endswith("_bytes") | m.endswith("_seconds") | m.endswith("_milliseconds"), "gauge").when(m.endswith("_total") | m.endswith("_count"), "counter").otherwise("gauge")
     unit = F.when(m.endswith("_bytes"), "byte").when(m.endswith("_seconds"), "second").when(m.endswith("_milliseconds"), "millisecond").when(m.endswith("_total") | m.endswith("_count"), F.lit(None)).when(m.endswith("_ratio"), "ratio").when(m.endswith("_percent"), "percent")
     return kind, unit
@@ -77,13 +78,26 @@ def annotations(table: DataFrame, start: int, end: int, tags: Sequence[str] = ()
     return rows.orderBy("timestamp", "id")
 
 
+def add_annotation(table: DataFrame, timestamp: int, title: str, description: str | None = None, tags: Sequence[str] = (), now: int = 0) -> DataFrame:
+    """The annotations and a new one, whose id is above all others."""
+    if not title:
+        raise ValueError("an annotation needs a title")
+    row = table.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id"))
+    own = F.array(*map(F.lit, tags)) if tags else F.array().cast("array<string>")
+    row = row.select("id", F.lit(int(timestamp)).cast("long").alias("timestamp"), F.lit(title).alias("title"), F.lit(description).cast("string").alias("description"), own.alias("tags"), F.lit(int(now)).cast("long").alias("created_at"))
+    return table.select(*row.columns).unionByName(row)
+
+
 def delete_annotation(table: DataFrame, annotation_id: int) -> DataFrame:
     return table.where(~F.col("id").eqNullSafe(annotation_id))
 
 
 def annotate_points(points: DataFrame, table: DataFrame, around: int) -> DataFrame:
-    """Points with the annotations at most ``around`` seconds away: an equi-join on time slots, then the exact distance."""
+    """Points with the annotations at most ``around`` seconds away: an equi-join on time slots, then the exact distance.
+
+    An annotation is put into the three slots that its range can touch, so every point has one slot.
+    """
     slot = max(1, around)
-    left = points.withColumn("__slot", F.explode(F.array(*[F.expr(f"floor(ts / {slot}) + {k}") for k in (-1, 0, 1)])))
-    right = table.withColumn("__slot", F.expr(f"floor(timestamp / {slot})"))
+    left = points.withColumn("__slot", F.expr(f"floor(ts / {slot})"))
+    right = table.withColumn("__slot", F.explode(F.array(*[F.expr(f"floor(timestamp / {slot}) + {k}") for k in (-1, 0, 1)])))
     return left.join(right, "__slot").where(F.abs(F.col("ts") - F.col("timestamp")) <= around).drop("__slot")

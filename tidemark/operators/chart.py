@@ -10,7 +10,8 @@ from html import escape
 from pyspark.sql import DataFrame
 
 COLOURS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f")
-_TIME_STEPS = (30, 60, 300, 600, 1800, 3600, 7200, 21600, 43200, 86400)
+#: Whole minutes that divide an hour, then whole hours that divide a day.
+_TIME_STEPS = [60 * m for m in range(1, 60) if 60 % m == 0] + [3600 * h for h in range(1, 25) if 24 % h == 0]
 
 
 def collect(result: DataFrame) -> list[tuple[dict, list[tuple[int, float]]]]:
@@ -33,7 +34,9 @@ def nice_ticks(low: float, high: float, about: int = 5) -> list[float]:
 
 
 def time_ticks(start: int, end: int, about: int = 6) -> list[int]:
-    step = next((s for s in _TIME_STEPS if (end - start) / s <= about), _TIME_STEPS[-1] * max(1, math.ceil((end - start) / about / 86400)))
+    """Multiples of the least step that gives at most ``about`` intervals; above a day, of whole days."""
+    least = max(1, math.ceil((end - start) / about))
+    step = min((x for x in _TIME_STEPS if x >= least), default=-(-least // 86400) * 86400)
     return list(range(-(-start // step) * step, end + 1, step))
 
 

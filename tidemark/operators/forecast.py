@@ -25,7 +25,7 @@ def features(ts: np.ndarray, periods: Sequence[int], low: float, span: float) ->
 
 
 def detect_periods(ts: np.ndarray) -> tuple[int, int]:
-    """Two seasons that suit the series' typical gap (the upper median)."""
+    """Two seasons that suit the series' typical gap (the upper median); fixed values: the seasons and from which gap they hold."""
     gaps = np.sort(np.diff(np.sort(ts)))
     typical = gaps[len(gaps) // 2] if len(gaps) else 300
     if typical >= DAY:

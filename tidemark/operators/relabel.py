@@ -43,7 +43,7 @@ def _renamed(labels: Column, pattern: str, replacement: str) -> Column:
 
 
 def apply(df: DataFrame, rules: Sequence[Mapping], labels: str = "labels") -> DataFrame:
-    """Rows with relabelled maps; rows that a rule drops are gone."""
+    """Rows with relabelled maps; rows that a rule drops are gone.  Fixed values of the format: names of actions and what a rule leaves out."""
     for rule in rules:
         action, pattern = rule.get("action", "replace"), rule.get("regex", "(.*)")
         c = F.col(labels)

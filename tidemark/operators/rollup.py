@@ -60,15 +60,3 @@ def compact(points: DataFrame, path: str, files: int) -> DataFrame:
     """The same points rewritten to ``path`` as few files, clustered by series and time."""
     points.repartitionByRange(files, "metric", "series_key", "ts").sortWithinPartitions("metric", "series_key", "ts").write.mode("overwrite").parquet(path)
     return points.sparkSession.read.parquet(path)
-
-
-def tier_or_raw(points: DataFrame, tier: DataFrame, name: str, width: int, start: int, end: int, watermark: int) -> DataFrame:
-    """Day-wide buckets of whole rolled-up days from the rollup table, everything else from the points."""
-    from tidemark.operators.aggregates import bucketed
-
-    rolled = name in ("min", "max", "sum", "count") and width % DAY == 0 and start % DAY == 0 and (end + 1) % DAY == 0 and start > 0 and end < watermark + DAY
-    if not rolled:
-        return bucketed(points.where(F.col("ts").between(start, end)), width, name)
-    agg = {"min": F.min("min"), "max": F.max("max"), "sum": F.sum("sum"), "count": F.sum("count")}[name]
-    rows = tier.where(F.col("bucket").between(start, end)).withColumn("__b", bucket(width, "bucket"))
-    return rows.groupBy("metric", "series_key", F.col("__b").alias("bucket")).agg(agg.alias("value")).select("metric", "series_key", labels_of().alias("labels"), "bucket", "value")

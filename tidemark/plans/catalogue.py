@@ -7,6 +7,9 @@ sums depend on the order of rows in the last place.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +20,11 @@ from tidemark.functions import transforms as tf
 from tidemark.functions.matchers import not_eq, not_regex, regex
 from tidemark.operators import alerts, catalog, forecast, query, relabel, rollup, textseries
 from tidemark.operators.aggregates import bucketed
-from tidemark.plans import native, promql
+from tidemark.plans import api, native, promql
 from tidemark.session import ensure
 from tidemark.sources import export, lines, scrape
+from tidemark.store import Store
+from tidemark.streaming import ingest, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -610,6 +615,345 @@ def _(spark, d):
     return _replayed(spark, d, 7200).select(F.get_json_object("series_key", "$.user").alias("usr"), "state", F.coalesce("triggered_at", F.lit(-1).cast("long")).alias("triggered_at"))
 
 
+# -- writes, small tables, responses: what an application sees of the operators
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder where the cluster shares files; of the driver only where there is no cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+@registered("store_append_s2", "WITH $P5 SELECT status, priority, ts, value, seq FROM p")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    store.append(orders(spark, d))
+    return store.points().select(*lab("status", "priority"), "ts", "value", "seq")
+
+
+@registered("store_days_s2", "WITH $P5 SELECT status, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM p WHERE ts BETWEEN 820454400 AND 828316800 GROUP BY 1")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    store.append(orders(spark, d))
+    return store.between(820454400, 828316800).groupBy(*lab("status")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@registered("store_write_s1", "SELECT metric, host, CAST(ts AS BIGINT) AS ts, CAST(value AS DOUBLE) AS value, CAST(place AS BIGINT) AS place FROM (VALUES ('m', 'a', 100, 7.0, 0), ('m', 'a', 100, 5.0, 1), ('m', 'b', 1706659200, 1.5, 2)) AS t(metric, host, ts, value, place)")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    for host, value, ts in (("a", 7.0, 100), ("a", 5.0, 100), ("b", 1.5, None)):
+        store.write("m", {"host": host}, value, NOW, ts)
+    place = (F.expr("row_number() over (order by seq)") - 1).cast("long")  # of three rows
+    return store.points().select("metric", *lab("host"), "ts", "value", place.alias("place"))
+
+
+@registered("store_text_s5", f"WITH {_PT} SELECT usr, value, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1, 2")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    store.append(states(spark, d), "text_points")
+    return store.text().groupBy(*lab("user"), "value").agg(F.count("*").alias("n"))
+
+
+@registered("store_rollup_r1", f"WITH $P5 {_DAILY} WHERE (ts // 86400) * 86400 < 915148800 GROUP BY 1, 2, 3")
+def _(spark, d):
+    # The second run, with the old watermark, adds nothing.
+    store = Store(spark, _scratch(spark))
+    store.append(orders(spark, d))
+    for _ in range(2):
+        store.rollup(0, 915148800 + 5000)
+    return _daily(store.daily())
+
+
+@registered("stream_append_v1", "WITH $P1 SELECT metric, usr, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM p GROUP BY 1, 2")
+def _(spark, d):
+    source = _table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parq*")
+    at = _scratch(spark)
+    ingest.append(stream, f"{at}/points", f"{at}/checkpoint", model.from_events).awaitTermination()
+    rows = spark.read.schema(model.POINTS).parquet(f"{at}/points")
+    return rows.groupBy("metric", *lab("user")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@registered("live_buckets_v3", "WITH $P1 SELECT metric, usr, (ts // 86400) * 86400 AS bucket, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, CAST(count(*) AS BIGINT) AS count FROM p GROUP BY 1, 2, 3")
+def _(spark, d):
+    source = _table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    stream = model.from_events(spark.readStream.schema(source.schema).parquet(f"{d}/events.parq*"))
+    at, kept = _scratch(spark), []
+    out = ingest.live_buckets(stream, DAY, lateness=40 * DAY)
+    write = lambda batch, _: (batch.write.mode("overwrite").parquet(f"{at}/live"), kept.append(1))
+    out.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/live")
+    return rows.select("metric", F.get_json_object("series_key", "$.user").alias("usr"), "bucket", "min", "max", rnd("sum", 4), "count")
+
+
+@registered("backup_k6", "SELECT 'points' AS name, CAST(count(*) AS BIGINT) AS n FROM orders UNION ALL SELECT 'text', CAST(count(*) AS BIGINT) FROM events")
+def _(spark, d):
+    done = export.backup({"points": orders(spark, d), "text": states(spark, d)}, _scratch(spark))
+    return spark.createDataFrame(list(done["tables"].items()), "name string, n long")
+
+
+_DAYS5 = "WITH $P5, s AS (SELECT status, priority, (ts // 2592000) * 2592000 AS bucket, max(value) AS value FROM p WHERE ts BETWEEN 820454400 AND 852076800 GROUP BY 1, 2, 3)"
+
+
+def _months(spark, d):
+    return query.aggregate_multi(orders(spark, d), "order_total", {}, 2592000, "max", 820454400, 852076800)
+
+
+@registered("matrix_k2", f"{_DAYS5} SELECT status, priority, bucket, value FROM s")
+def _(spark, d):
+    sent = json.loads(export.matrix(_months(spark, d)))["data"]["result"]
+    return spark.createDataFrame([(s["metric"]["status"], s["metric"]["priority"], t, float(v)) for s in sent for t, v in s["values"]], "status string, priority string, bucket long, value double")
+
+
+@registered("vector_k3", f"{_DAYS5} SELECT status, priority, max(bucket) AS bucket, arg_max(value, bucket) AS value FROM s GROUP BY 1, 2")
+def _(spark, d):
+    sent = json.loads(export.vector(_months(spark, d), 0))["data"]["result"]
+    return spark.createDataFrame([(s["metric"]["status"], s["metric"]["priority"], s["value"][0], float(s["value"][1])) for s in sent], "status string, priority string, bucket long, value double")
+
+
+@registered("native_json_k4", f"{_DAYS5} SELECT status, bucket, max(value) AS value FROM s GROUP BY 1, 2")
+def _(spark, d):
+    result = query.aggregate_grouped(orders(spark, d), "order_total", {}, ["status"], 2592000, "max", "max", 820454400, 852076800)
+    sent = json.loads(export.native(result, "grouped", ["status"], "order_total"))["groups"]
+    return spark.createDataFrame([(g["group"]["status"], t, v) for g in sent for t, v in g["data"]], "status string, bucket long, value double")
+
+
+@registered("exposition_k8", "SELECT 'total_points' AS name, CAST(count(*) AS DOUBLE) AS value FROM orders")
+def _(spark, d):
+    text = export.exposition({"total_points": catalog.store_info(orders(spark, d)).first()["total_points"]})
+    parsed = lines.prometheus(lines.from_text(spark, text), NOW).points
+    return parsed.select(F.regexp_replace("metric", "^tidemark_", "").alias("name"), "value")
+
+
+@registered("api_health_d9", "WITH $P5 SELECT CAST(count(DISTINCT status || '|' || priority) AS BIGINT) AS series, CAST(count(*) AS BIGINT) AS points FROM p")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    store.append(orders(spark, d))
+    sent = json.loads(api.Api(store, lambda: NOW).handle("GET", "/health")[2])
+    return spark.createDataFrame([(sent["series"], sent["points"])], "series long, points long")
+
+
+@registered("self_monitor_s16", "SELECT 'tidemark_points_total' AS metric, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'tidemark_points_per_second', count(*) / 10.0 FROM orders")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    store.append(orders(spark, d))
+    own = {k: v for k, v in schedule.store_counters(store).items() if k == "points"}
+    return schedule.own_statistics(spark, NOW, own, {"points": 0.0}, 10.0).select("metric", "value")
+
+
+@registered("payloads_k7", "SELECT n_nationkey AS rule_id, 'http://x/' || n_nationkey AS url, n_name AS alert, 'resolved' AS state, 'above' AS condition FROM nation WHERE n_nationkey % 2 = 0")
+def _(spark, d):
+    nations = _table(spark, d, "nation").collect()
+    rules = [alerts.Rule(n["n_nationkey"], n["n_name"], "m", "above", 1.0, webhook_url=f"http://x/{n['n_nationkey']}" if n["n_nationkey"] % 2 == 0 else None) for n in nations]
+    happened = _table(spark, d, "nation").select(F.col("n_nationkey").alias("rule_id"), F.lit("{}").alias("series_key"), F.lit("resolve").alias("event"), F.lit(NOW).cast("long").alias("triggered_at"), F.lit(0.5).alias("value"))
+    sent = alerts.payloads(happened, rules)
+    field = lambda k: F.get_json_object("body", f"$.{k}").alias(k)
+    return sent.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("rule_id"), "url", field("alert"), field("state"), field("condition"))
+
+
+# -- filters and requests
+
+
+@registered("threshold_text_f9", "WITH $P1, s AS (SELECT usr, (ts // 86400) * 86400 AS bucket, max(value) AS value FROM p WHERE metric = 'event_view' GROUP BY 1, 2) SELECT usr, bucket, value FROM s QUALIFY min(value) OVER (PARTITION BY usr) < 2.5")
+def _(spark, d):
+    return query.threshold(query.aggregate_multi(events(spark, d), VIEW, {}, "day", "max"), *tf.parse_threshold("filter_lt:2.5")).select(*lab("user"), "bucket", "value")
+
+
+@registered("precedence_f10", "WITH $P1, s AS (SELECT metric, usr, (ts // 86400) * 86400 AS bucket, max(value) AS value FROM p WHERE metric IN ('event_view', 'event_click') AND ts BETWEEN $WEEK1 AND $WEEK2 GROUP BY 1, 2, 3) SELECT metric, usr, bucket, value FROM s")
+def _(spark, d):
+    # With several metrics a threshold does not count.
+    out, _, _ = native.query_range(events(spark, d), {"metrics": "event_view,event_click", "start": str(WEEK1), "end": str(WEEK2), "step": "1d", "aggregate": "max", "threshold_gt": "1e9"}, NOW)
+    return out.select("metric", *lab("user"), "bucket", "value")
+
+
+@registered("precedence_group_f10", _W + "s AS (SELECT metric, (ts // 86400) * 86400 AS bucket, max(value) AS value FROM r WHERE metric IN ('event_view', 'event_click') GROUP BY 1, 2) SELECT metric AS name, bucket, value FROM s")
+def _(spark, d):
+    # Groups of a pattern of metrics are not filtered.
+    out, _ = promql.execute(events(spark, d), "max(max_over_time({__name__=~'event_(view|click)'}[1h])) by (__name__) > 1000000", WEEK1, WEEK2, DAY)
+    return out.select(F.col("__name__").alias("name"), "bucket", "value")
+
+
+@registered("label_params_f11", "WITH $P5 SELECT status, priority, (ts // 604800) * 604800 AS bucket, CAST(count(*) AS DOUBLE) AS value FROM p WHERE status = 'F' AND regexp_full_match(priority, '[12].*') AND ts BETWEEN 820454400 AND 852076800 GROUP BY 1, 2, 3")
+def _(spark, d):
+    out, _, _ = native.query_range(orders(spark, d), {"metric": "order_total", "status": "F", "priority": "=~[12].*", "from": "820454400", "to": "852076800", "step": "1w", "aggregate": "count"}, NOW)
+    return out.select(*lab("status", "priority"), "bucket", F.col("value").cast("double").alias("value"))
+
+
+@registered("relative_time_f12", "WITH $P1 SELECT usr, ts, value FROM p WHERE metric = 'event_view' AND ts BETWEEN $NOW - 259200 AND $NOW - 86400")
+def _(spark, d):
+    start, end = native.time_range({"start": "-3d", "end": "-24h"}, NOW)
+    return query.raw_multi(events(spark, d), VIEW, {}, start, end).select(*lab("user"), "ts", "value")
+
+
+@registered("aggregate_names_q17", "WITH $P5, s AS (SELECT status, priority, (ts // 604800) * 604800 AS bucket, avg(value) AS v FROM p WHERE ts BETWEEN 820454400 AND 852076800 GROUP BY 1, 2, 3) SELECT status, bucket, round(max(v), 6) AS value FROM s GROUP BY 1, 2")
+def _(spark, d):
+    # Unknown names: the average inside series, the maximum across them.
+    out, _, _ = native.query_range(orders(spark, d), {"metric": "order_total", "start": "820454400", "end": "852076800", "step": "1w", "aggregate": "median", "group_by": "status", "cross_aggregate": "mode"}, NOW)
+    return out.select("status", "bucket", rnd())
+
+
+@registered("promql_name_l7", _W + "s AS (SELECT usr, (ts // 3600) * 3600 AS bucket, avg(value) AS v FROM r WHERE metric = 'event_view' AND usr = '3' GROUP BY 1, 2) SELECT usr, bucket, round(v, 6) AS value FROM s")
+def _(spark, d):
+    return _promql(spark, d, "{__name__=\"event_view\", user='3'}").drop("metric")
+
+
+@registered("promql_unreadable_l9", "SELECT event_type AS usr, event_id AS bucket, value FROM events WHERE false")
+def _(spark, d):
+    # What is no query names a metric that isn't there; only an empty text is an error.
+    return _promql(spark, d, "event_view >= 5").drop("metric")
+
+
+@registered("text_split_f13", "SELECT CAST(user_id AS VARCHAR) AS usr, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS value FROM events WHERE event_id % 3 = 0")
+def _(spark, d):
+    e = _table(spark, d, "events")
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(F.col("value").cast("string"))
+    body = e.select(F.format_string('{"metric":{"__name__":"m","user":"%s"},"values":[%s],"timestamps":[%s]}', F.col("user_id"), value, model.seconds(F.col("ts")).cast("string")).alias("line"), F.col("event_id").alias("seq"))
+    return lines.vm_json(body).text.select(*lab("user"), "ts", "value")
+
+
+@registered("list_of_values_s6", "WITH $P5, s AS (SELECT status, ts, value, row_number() OVER (PARTITION BY status ORDER BY seq) AS i FROM p) SELECT status, ts, value FROM s")
+def _(spark, d):
+    # All values of a series in one line.
+    every = export.vm_json_lines(orders(spark, d).withColumn("series_key", F.to_json(F.create_map(F.lit("status"), F.col("labels")["status"]))))
+    seconds = F.regexp_replace("line", r"([0-9]{9,10})000(?=[,\]])", "$1")
+    return lines.vm_json(lines.numbered(every.select(seconds.alias("line")))).points.select(*lab("status"), "ts", "value")
+
+
+# -- control tables
+
+
+def _happened(spark, d):
+    return alerts.history(_replayed(spark, d, 0)).withColumn("acknowledged", F.col("value") > 60)
+
+
+_HISTORY = """WITH $P1, s AS (SELECT usr, (ts // 3600) * 3600 AS tick, max(value) > 60 AS hit, max(value) AS value FROM p WHERE metric = 'event_view' GROUP BY 1, 2),
+c AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY usr ORDER BY tick), false) AS before FROM s), h AS (SELECT usr, '{"user":"' || usr || '"}' AS k, CASE WHEN hit THEN 'fire' ELSE 'resolve' END AS event, tick AS triggered_at, value > 60 AS acknowledged FROM c WHERE hit <> before)"""
+
+
+@registered("history_filters_f15", f"{_HISTORY} SELECT usr, event, triggered_at FROM h WHERE acknowledged ORDER BY triggered_at DESC, k LIMIT 1000000")
+def _(spark, d):
+    out = alerts.search_history(_happened(spark, d), 1, True, 1_000_000)
+    return out.select(F.get_json_object("series_key", "$.user").alias("usr"), "event", "triggered_at")
+
+
+@registered("history_limit_o3", f"{_HISTORY} SELECT usr, event, triggered_at FROM h ORDER BY triggered_at DESC, k LIMIT 50")
+def _(spark, d):
+    return alerts.search_history(_happened(spark, d)).select(F.get_json_object("series_key", "$.user").alias("usr"), "event", "triggered_at")
+
+
+@registered("history_clear_e7", f"{_HISTORY} SELECT usr, event, triggered_at FROM h WHERE NOT (triggered_at < $NOW - 604800 AND acknowledged)")
+def _(spark, d):
+    return alerts.clear_history(_happened(spark, d), NOW).select(F.get_json_object("series_key", "$.user").alias("usr"), "event", "triggered_at")
+
+
+@registered("acknowledge_e7", f"{_HISTORY} SELECT triggered_at, CAST(count(*) AS BIGINT) AS n, bool_or(acknowledged) AS some FROM (SELECT triggered_at, acknowledged OR triggered_at = (SELECT max(triggered_at) FROM h) AS acknowledged FROM h) GROUP BY 1")
+def _(spark, d):
+    rows = _happened(spark, d)
+    newest = rows.agg(F.max("triggered_at")).first()[0]
+    return alerts.acknowledge(rows, 1, newest or 0).groupBy("triggered_at").agg(F.count("*").alias("n"), F.bool_or("acknowledged").alias("some"))
+
+
+@registered("frozen_state_e5", "WITH $P1, s AS (SELECT usr, avg(value) AS v FROM p WHERE metric = 'event_view' AND ts BETWEEN $NOW - 172800 AND $NOW AND (ts // 172800) * 172800 = (SELECT 0 + ($NOW // 172800) * 172800) GROUP BY 1), u AS (SELECT DISTINCT usr FROM p) SELECT usr, 'firing' AS state, CAST(5 AS BIGINT) AS triggered_at FROM u WHERE usr NOT IN (SELECT usr FROM p WHERE metric = 'event_view' AND ts BETWEEN $NOW - 172800 AND $NOW)")
+def _(spark, d):
+    # Series without data in the window keep firing, whatever the limit; the others resolve.
+    points = events(spark, d)
+    held = points.select("series_key").distinct().select(F.lit(1).cast("long").alias("rule_id"), "series_key", F.lit("firing").alias("state"), F.lit(5).cast("long").alias("triggered_at"), F.lit(None).cast("long").alias("resolved_at"), F.lit(0.0).alias("value"))
+    after, _ = alerts.evaluate(points, [alerts.Rule(1, "r", VIEW, "above", 1e9, 2 * DAY)], held, NOW)
+    return after.where("state = 'firing'").select(F.get_json_object("series_key", "$.user").alias("usr"), "state", "triggered_at")
+
+
+@registered("rule_crud_e1", """WITH s AS (SELECT c_nationkey AS k, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1), r AS (SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey = 3 THEN 9.5 ELSE 1.0 END AS threshold, n_nationkey <> 4 AS enabled FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 25, 'new', 2.0, true)
+SELECT CAST(id AS BIGINT) AS id, name, CAST(threshold AS DOUBLE) AS threshold, enabled, CASE WHEN id = 4 THEN 0 ELSE coalesce(n, 0) END AS n_states FROM r LEFT JOIN s ON k = id""")
+def _(spark, d):
+    kinds = [f"{x.strip()}" for x in alerts.RULES.replace("map<string,string>", "map").split(",")]
+    given = {"id": F.col("n_nationkey"), "name": F.col("n_name"), "metric": F.lit("m"), "labels": F.create_map().cast("map<string,string>"), "aggregate": F.lit("avg"), "condition": F.lit("above"), "threshold": F.lit(1.0), "duration": F.lit(0).cast("long"), "enabled": F.lit(True), "webhook_url": F.lit(None).cast("string")}
+    rules = _table(spark, d, "nation").select(*[given[k.split(" ")[0]].alias(k.split(" ")[0]) for k in kinds])
+    held = _table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("rule_id"), F.col("c_custkey").cast("string").alias("series_key"), F.lit("firing").alias("state"), F.lit(0).cast("long").alias("triggered_at"))
+    rules = alerts.create_rule(rules, alerts.Rule(0, "new", "m", "below", 2.0))
+    rules, held = alerts.update_rule(rules, held, 3, threshold=9.5)
+    rules, held = alerts.update_rule(rules, held, 4, enabled=False)
+    rules, held = alerts.delete_rule(rules, held, 5)
+    return alerts.rules_with_states(rules, held).select("id", "name", "threshold", "enabled", F.size("states").cast("long").alias("n_states"))
+
+
+@registered("target_crud_s14", "SELECT s_suppkey AS id, CASE WHEN s_suppkey = 2 THEN 'changed' ELSE s_name END AS job_name, CAST(CASE WHEN s_suppkey = 2 THEN 30 ELSE 15 END AS BIGINT) AS scrape_interval, '/metrics' AS metrics_path FROM supplier WHERE s_suppkey <> 1 UNION ALL SELECT max(s_suppkey) + 1, 'added', 30, '/metrics' FROM supplier")
+def _(spark, d):
+    s = _table(spark, d, "supplier")
+    own = [F.col("s_suppkey").alias("id"), F.col("s_name").alias("job_name"), F.lit("http").alias("scheme"), F.lit("a:1").alias("address"), F.lit("/metrics").alias("metrics_path"), F.lit(15).cast("long").alias("scrape_interval"), F.lit(10).cast("long").alias("scrape_timeout"), F.lit(False).alias("honor_labels"), F.lit(True).alias("honor_timestamps")]
+    targets = scrape.update_target(scrape.add_target(s.select(*own), {"job_name": "added", "address": "x:1"}), 2, {"job_name": "changed", "address": "y:1"})
+    targets, _ = scrape.delete_target(targets, spark.createDataFrame([], scrape.HEALTH), 1)
+    return targets.select("id", "job_name", "scrape_interval", "metrics_path")
+
+
+@registered("annotation_append_f14", "SELECT id, timestamp, title FROM $NOTES WHERE title = 'error' UNION ALL SELECT max(id) + 1, $NOW, 'deploy' FROM $NOTES", NOTES=_NOTES)
+def _(spark, d):
+    notes = _notes(spark, d).withColumn("description", F.lit(None).cast("string")).withColumn("created_at", F.lit(0).cast("long"))
+    grown = catalog.add_annotation(notes, NOW, "deploy", tags=["ops"])
+    return grown.where("title in ('error', 'deploy')").select("id", "timestamp", "title")
+
+
+@registered("relabel_chain_b5", "SELECT c_custkey AS k, substr(c_mktsegment, 1, 1) || '-x' AS code FROM customer WHERE c_mktsegment NOT LIKE 'BUILD%'")
+def _(spark, d):
+    chain = [{"source_labels": ["segment"], "regex": "^(.).*$", "target_label": "code", "replacement": "$1"}, {"source_labels": ["segment"], "action": "drop", "regex": "^BUILD"}, {"source_labels": ["code"], "regex": "^(.*)$", "target_label": "code", "replacement": "$1-x"}, {"action": "labeldrop", "regex": "^na"}]
+    return relabel.apply(_tagged(spark, d), chain).select(F.col("c_custkey").alias("k"), F.col("labels")["code"].alias("code"))
+
+
+@registered("scraped_relabel_b7", "SELECT 'req' AS metric, 'own' AS job, CAST(n_nationkey AS VARCHAR) AS nation, CAST(n_nationkey AS DOUBLE) AS value FROM nation WHERE n_nationkey % 2 = 0")
+def _(spark, d):
+    body = _table(spark, d, "nation").select(F.format_string('req{nation="%s",odd="%s"} %s', F.col("n_nationkey"), F.col("n_nationkey") % 2, F.col("n_nationkey")).alias("line"), F.col("n_nationkey").alias("seq"))
+    got, _ = scrape.scraped(body, {"job_name": "own", "address": "a:1"}, NOW, 0.5, [{"action": "drop", "source_labels": ["odd"], "regex": "^1$"}])
+    return got.where("metric = 'req'").select("metric", *lab("job", "nation"), "value")
+
+
+# -- forecasts: without seasons the model is a parabola, whose three coefficients SQL finds by determinants
+
+_PARABOLA = """WITH $P5, s AS (SELECT status, priority, (ts // 604800) * 604800 AS bucket, $AGG(value) AS y FROM p GROUP BY 1, 2, 3), e AS (SELECT status, priority, min(bucket) AS low, max(bucket) AS high, count(*) AS n FROM s GROUP BY 1, 2),
+t AS (SELECT s.*, low, high, (bucket - low) / greatest(high - low, 1) AS t FROM s JOIN e USING (status, priority) WHERE n >= 3),
+m AS (SELECT status, priority, any_value(low) AS low, any_value(high) AS high, CAST(count(*) AS DOUBLE) AS a, sum(t) AS b, sum(t*t) AS c, sum(t*t*t) AS d, sum(t*t*t*t) AS f, sum(y) AS u, sum(y*t) AS v, sum(y*t*t) AS w FROM t GROUP BY 1, 2),
+k AS (SELECT *, a*(c*f-d*d) - b*(b*f-d*c) + c*(b*d-c*c) AS det FROM m),
+q AS (SELECT status, priority, low, high, (u*(c*f-d*d) - b*(v*f-d*w) + c*(v*d-c*w)) / det AS k0, (a*(v*f-d*w) - u*(b*f-d*c) + c*(b*w-v*c)) / det AS k1, (a*(c*w-v*d) - b*(b*w-v*c) + u*(b*d-c*c)) / det AS k2 FROM k)"""
+
+
+def _weekly(spark, d, name):
+    return bucketed(orders(spark, d), 7 * DAY, name)
+
+
+def _of_orders(*more):
+    return [F.get_json_object("series_key", f"$.{k}").alias(k) for k in ("status", "priority")] + list(more)
+
+
+@registered("forecast_trend_t4", _PARABOLA + ", h AS (SELECT *, unnest(range(high + 604800, high + 2419201, 604800)) AS bucket FROM q) SELECT status, priority, bucket, round(round(k0 + k1 * ((bucket - low) / (high - low)) + k2 * ((bucket - low) / (high - low)) * ((bucket - low) / (high - low)), 4), 2) AS value FROM h", AGG="avg")
+def _(spark, d):
+    out = forecast.forecast(_weekly(spark, d, "avg"), 28 * DAY, 7 * DAY, periods=())
+    return out.select(*_of_orders("bucket", rnd(n=2)))
+
+
+@registered("fit_trend_t3", _PARABOLA + " SELECT status, priority, bucket, round(round(k0 + k1 * t.t + k2 * t.t * t.t, 4), 2) AS expected FROM t JOIN q USING (status, priority)", AGG="sum")
+def _(spark, d):
+    out = forecast.expected(_weekly(spark, d, "sum"), periods=())
+    return out.select(*_of_orders("bucket", rnd("expected", 2)))
+
+
+@registered("anomalies_trend_t6", _PARABOLA + """, r AS (SELECT status, priority, bucket, y, y - round(k0 + k1 * t.t + k2 * t.t * t.t, 4) AS res FROM t JOIN q USING (status, priority)),
+z AS (SELECT *, (res - avg(res) OVER g) / greatest(stddev_pop(res) OVER g, 1e-10) AS score FROM r WINDOW g AS (PARTITION BY status, priority)) SELECT status, priority, bucket, round(y, 2) AS value, round(score, 3) AS score FROM z WHERE abs(score) > 2.0""", AGG="sum")
+def _(spark, d):
+    out = forecast.anomalies(_weekly(spark, d, "sum"), "high", periods=()).where("anomaly")
+    return out.select(*_of_orders("bucket", rnd(n=2), rnd("score", 3)))
+
+
+@registered("features_t1", "WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events), r AS (SELECT min(ts) AS low, max(ts) AS high FROM e) SELECT event_id, round((ts - low) / (high - low), 8) AS t, round(sin(2 * pi() * ts / 86400), 6) AS s, round(cos(2 * pi() * ts / 86400), 6) AS c FROM e, r")
+def _(spark, d):
+    rows = _table(spark, d, "events").select("event_id", model.seconds(F.col("ts")).alias("ts"))
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+
+    def run(batches):
+        for pdf in batches:
+            x = forecast.features(pdf["ts"].to_numpy("float64"), (DAY,), low, high - low)
+            yield pdf[["event_id"]].assign(t=x[:, 1].round(8), s=x[:, 3].round(6), c=x[:, 4].round(6))
+
+    return rows.mapInPandas(run, "event_id long, t double, s double, c double")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

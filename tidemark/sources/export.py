@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a response holds at most; larger results are written as files.
+MOST_ROWS = 1_000_000
+
+
+def bounded(result: DataFrame, most: int | None = None) -> list:
+    """The rows of a result for one response; an error if there are too many."""
+    most = MOST_ROWS if most is None else most
+    rows = result.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: ask for less, or export to files")
+    return rows
+
+
 def vm_json_lines(points: DataFrame) -> DataFrame:
     """(line): one JSON object for each series, times in milliseconds (import reads seconds)."""
     grouped = points.groupBy("metric", "series_key").agg(F.any_value("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("ts", "seq", "value"))).alias("p"))
@@ -31,7 +44,7 @@ def _series(rows: Sequence, keys: Sequence[str]) -> dict:
 def matrix(result: DataFrame, keys: Sequence[str] = ("metric", "series_key")) -> str:
     """Range response; the result is collected, so it should be one that a person looks at."""
     series = []
-    for key, rows in sorted(_series(result.orderBy(*keys, "bucket").collect(), keys).items(), key=str):
+    for key, rows in sorted(_series(bounded(result.orderBy(*keys, "bucket")), keys).items(), key=str):
         series.append({"metric": _labels(keys, key, rows[0]), "values": [[r["bucket"], number_text(r["value"])] for r in rows]})
     return json.dumps({"status": "success", "data": {"resultType": "matrix", "result": series}})
 
@@ -39,7 +52,7 @@ def matrix(result: DataFrame, keys: Sequence[str] = ("metric", "series_key")) ->
 def vector(result: DataFrame, at: int, keys: Sequence[str] = ("metric", "series_key")) -> str:
     """Instant response: the last value of each series; a single zero if there is none."""
     last = result.groupBy(*keys).agg(F.max("bucket").alias("bucket"), F.max_by("value", "bucket").alias("value"), *([F.any_value("labels").alias("labels")] if "labels" in result.columns else []))
-    rows = last.collect()
+    rows = bounded(last)
     series = [{"metric": _labels(keys, tuple(r[k] for k in keys), r), "value": [r["bucket"], number_text(r["value"])]} for r in sorted(rows, key=lambda r: str([r[k] for k in keys]))]
     return json.dumps({"status": "success", "data": {"resultType": "vector", "result": series or [{"metric": {}, "value": [at, "0"]}]}})
 
@@ -53,7 +66,7 @@ def _labels(keys: Sequence[str], key: tuple, row) -> Mapping:
 def native(result: DataFrame, shape: str, keys: Sequence[str] = ("metric", "series_key"), metric: str | None = None) -> str:
     """flat: {metric, series}, multi: {series}, grouped: {metric, groups}."""
     out = []
-    for key, rows in sorted(_series(result.orderBy(*keys, "bucket").collect(), keys).items(), key=str):
+    for key, rows in sorted(_series(bounded(result.orderBy(*keys, "bucket")), keys).items(), key=str):
         data = [[r["bucket"], r["value"]] for r in rows]
         if shape == "grouped":
             out.append({"group": {k: v for k, v in zip(keys, key, strict=True) if v is not None}, "data": data})

@@ -1,7 +1,8 @@
 """Ingest of line formats.  A parser takes (line, seq) and returns (points, text points or None, errors).
 
 Parsers are column expressions throughout.  ``now`` stands in for missing times.
-Errors are (line, seq) of the lines that could not be read.
+Errors are (line, seq) of the lines that could not be read.  Numbers of lines are LINE
+apart, so that the values of a line can be numbered after it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.model import LABELS, points, text_points
 
+#: Distance of the numbers of two lines, and bits for the line inside a file split.
+LINE, SPLIT_BITS = 1 << 20, 23
 BODY_LIMIT = 10 * 1024 * 1024
 _NUMBER = r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
 
@@ -31,14 +34,22 @@ class Parsed:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(line, seq) of text files; seq follows the order of lines inside a file split."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    """(line, seq) of text files; seq follows the order of splits, and of lines inside a split (of 8 million lines at most)."""
+    return numbered(spark.read.text(path).select(F.col("value").alias("line")))
 
 
-def from_text(spark: SparkSession, body: str) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with seq by partition and place."""
+    place = F.expr(f"__at & {(1 << 33) - 1}")
+    fits = F.when(place < (1 << SPLIT_BITS), place).otherwise(F.raise_error(F.lit("a split has too many lines: lower spark.sql.files.maxPartitionBytes")).cast("long"))
+    seq = (F.shiftleft(F.shiftrightunsigned("__at", 33), SPLIT_BITS) + fits) * LINE
+    return rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("seq", seq).drop("__at")
+
+
+def from_text(spark: SparkSession, body: str, first: int = 0) -> DataFrame:
     if len(body.encode()) > BODY_LIMIT:
         raise ValueError("body too large")
-    return spark.createDataFrame([(x, i) for i, x in enumerate(body.split("\n"))], "line string, seq long")
+    return spark.createDataFrame([(x, first + i * LINE) for i, x in enumerate(body.split("\n"))], "line string, seq long")
 
 
 def _finite(text: Column) -> Column:
@@ -57,7 +68,7 @@ def vm_json(lines: DataFrame) -> Parsed:
     good = F.expr("m is not null and vals is not null and tss is not null and size(vals) = size(tss) and forall(vt, t -> t rlike '^(BIGINT|DECIMAL|DOUBLE|STRING)') and forall(tt, t -> t = 'BIGINT')")
     doc = doc.withColumn("good", F.coalesce(good, F.lit(False)))
     rows = doc.where("good").select("m", "seq", F.expr("posexplode(arrays_zip(vals, tss, vt))").alias("i", "p"))
-    rows = rows.select(F.coalesce(F.col("m")["__name__"], F.lit("unknown")).alias("metric"), F.map_filter("m", lambda k, _: k != "__name__").alias("labels"), F.expr("try_variant_get(p.tss, '$', 'bigint')").alias("ts"), (F.col("seq") * 1_000_000 + F.col("i")).alias("seq"), F.expr("p.vt = 'STRING'").alias("is_text"), F.expr("try_variant_get(p.vals, '$', 'string')").alias("s"), F.expr("case when p.vt <> 'STRING' then try_variant_get(p.vals, '$', 'double') end").alias("d"))
+    rows = rows.select(F.coalesce(F.col("m")["__name__"], F.lit("unknown")).alias("metric"), F.map_filter("m", lambda k, _: k != "__name__").alias("labels"), F.expr("try_variant_get(p.tss, '$', 'bigint')").alias("ts"), (F.col("seq") + F.col("i")).alias("seq"), F.expr("p.vt = 'STRING'").alias("is_text"), F.expr("try_variant_get(p.vals, '$', 'string')").alias("s"), F.expr("case when p.vt <> 'STRING' then try_variant_get(p.vals, '$', 'double') end").alias("d"))
     c = F.col
     return Parsed(
         points(rows.where("not is_text"), c("metric"), c("labels"), c("ts"), c("d"), c("seq")),
@@ -105,5 +116,5 @@ def influx(lines: DataFrame, now: int) -> Parsed:
     rows = rows.withColumn("at", at)
     unit = "case when at > 1000000000000000000 then at div 1000000000L when at > 1000000000000000 then at div 1000000L when at > 1000000000000 then at div 1000L else at end"
     ts = F.coalesce(F.expr(unit), F.lit(now).cast("long"))
-    found = points(rows, metric, F.col("tags"), ts, number(F.col("f.v")).try_cast("double"), F.col("seq") * 1000 + F.col("i"))
+    found = points(rows, metric, F.col("tags"), ts, number(F.col("f.v")).try_cast("double"), F.col("seq") + F.col("i"))
     return Parsed(found, parts.where(~F.coalesce(good, F.lit(False))).select("line", "seq"))

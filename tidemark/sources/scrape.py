@@ -13,6 +13,7 @@ from tidemark.sources import lines
 
 TARGETS = "id long, job_name string, scheme string, address string, metrics_path string, scrape_interval long, scrape_timeout long, honor_labels boolean, honor_timestamps boolean"
 HEALTH = "target_id long, health string, last_scrape long, last_duration_ms long, samples_scraped long, error string"
+#: What a target leaves out.
 DEFAULTS = {"scheme": "http", "metrics_path": "/metrics", "scrape_interval": 30, "scrape_timeout": 10, "honor_labels": False, "honor_timestamps": True}
 
 
@@ -28,6 +29,35 @@ def target(spec: Mapping) -> dict:
     return out
 
 
+def _row(targets: DataFrame, spec: Mapping) -> DataFrame:
+    names = [f.name for f in targets.schema if f.name != "id"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in targets.schema if f.name != "id")
+    if bad := set(spec) - set(names) - {"id"}:
+        raise ValueError(f"targets have no {', '.join(sorted(bad))}")
+    full = target(spec)
+    return targets.sparkSession.createDataFrame([tuple(full.get(n) for n in names)], kinds)
+
+
+def add_target(targets: DataFrame, spec: Mapping) -> DataFrame:
+    """The targets and a new one, whose id is above all others."""
+    top = targets.agg(F.max("id")).first()[0] or 0
+    return targets.unionByName(_row(targets, {k: v for k, v in spec.items() if k != "id"}).withColumn("id", F.lit(top + 1).cast("long")))
+
+
+def update_target(targets: DataFrame, target_id: int, spec: Mapping) -> DataFrame:
+    """The targets with one replaced by a complete new description, under its id."""
+    hit = F.col("id") == target_id
+    row = _row(targets, {k: v for k, v in spec.items() if k != "id"})
+    if not targets.where(hit).take(1):
+        return targets
+    return targets.where(~hit).unionByName(row.withColumn("id", F.lit(target_id).cast("long")))
+
+
+def delete_target(targets: DataFrame, health: DataFrame, target_id: int) -> tuple[DataFrame, DataFrame]:
+    """(targets, health) without one target."""
+    return targets.where(F.col("id") != target_id), health.where(F.col("target_id") != target_id)
+
+
 def with_health(targets: DataFrame, health: DataFrame) -> DataFrame:
     """Targets with the outcome of their last scrape; unknown where there was none."""
     own = health.withColumnRenamed("target_id", "__id")

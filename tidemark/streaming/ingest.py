@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,14 +11,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def append(stream: DataFrame, path: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
-    """Appends every micro-batch of points to a Parquet table by metric and day.
+    """Appends every micro-batch of points to a Parquet table by metric, day and batch.
 
-    Late, unordered and repeated points are all kept, as in batch writes.
+    Late, unordered and repeated points are all kept, as in batch writes.  A batch that is
+    run again after a failure replaces what it wrote before.
     """
+    stream_name = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = parse(batch) if parse else batch
-        rows.withColumn("day", F.expr("ts div 86400")).write.mode("append").partitionBy("metric", "day").parquet(path)
+        rows = rows.withColumn("day", F.expr("ts div 86400")).withColumn("batch", F.lit(f"{stream_name}-{batch_id}"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "day", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

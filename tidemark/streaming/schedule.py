@@ -12,7 +12,7 @@ from tidemark.model import LABELS, points
 
 
 def every(spark: SparkSession, seconds: int, run: Callable[[int], None]) -> StreamingQuery:
-    """Calls ``run(now)`` each ``seconds``; the stream only keeps time."""
+    """Calls ``run(now)`` each ``seconds``; the stream only keeps time.  Micro-batches begin at multiples of the interval, as Spark's trigger aligns them."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def work(batch: DataFrame, _: int) -> None:
@@ -30,3 +30,9 @@ def own_statistics(spark: SparkSession, now: int, counters: Mapping[str, float],
         rows += [(f"tidemark_{k}_per_second", max(0.0, v - before.get(k, 0.0)) / seconds) for k, v in counters.items()]
     df = spark.createDataFrame([(m, v, i) for i, (m, v) in enumerate(rows)], "metric string, value double, seq long")
     return points(df, F.col("metric"), F.create_map().cast(LABELS), F.lit(now), F.col("value"), F.col("seq"), ordered=True)
+
+
+def store_counters(store) -> dict[str, float]:
+    """Numbers of series and points that a store holds, for ``own_statistics``."""
+    info = store.info().first()
+    return {"series": float(info["series_count"]), "points": float(info["total_points"])}
