@@ -39,6 +39,7 @@ from tidemark.llm.store import save
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Documents, and windows, that one block holds at most.
 BLOCK_DOCS, BLOCK_WINDOWS = 1024, 2_000_000
+SALTS = 64
 #: Bits of the filter that keeps documents without candidates from the second pass, at most.
 FILTER_BITS = 27
 
@@ -191,11 +192,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
 
     weights = found.join(signed.select("node", "n_windows"), "node")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("windows") / BLOCK_WINDOWS)).cast("int")
-    comps = weights.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_windows").alias("windows")).select("root", "docs", blocks.alias("blocks"))
-    small = comps.where("blocks = 1").agg(F.sum("docs")).first()[0] or 0
-    groups = max(1, math.ceil(small / BLOCK_DOCS))
-    placed = found.join(comps, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    comps = save(weights.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_windows").alias("windows")).select("root", "docs", "windows", blocks.alias("blocks")))
+    held = comps.where("blocks = 1").agg(F.sum("docs").alias("docs"), F.sum("windows").alias("windows")).first()
+    groups = max(1, math.ceil((held["docs"] or 0) / BLOCK_DOCS), math.ceil((held["windows"] or 0) / BLOCK_WINDOWS))
+    # Members of one large component never meet by its root alone: they are dealt to SALTS places first.
+    large = comps.where("blocks > 1").select("root", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = found.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(large, ["root", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
         "node", F.col("root").alias("comp"), "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(groups)))).otherwise(F.concat_ws(":", F.hex("root"), F.least("block", "other"), F.greatest("block", "other"))).alias("task"),
