@@ -136,15 +136,6 @@ def test_leaks(spark, docs_of):
     assert decontaminate.clean(docs_of(rows), bench.limit(0)).count() == len(rows)
 
 
-def test_leaks_in_blocks(spark, docs_of, monkeypatch):
-    bench = spark.createDataFrame([(i, prose(60 + i, 20)) for i in range(12)], "item_id long, text string")
-    rows = [(i, prose(i, 30) + " " + prose(60 + i, 20)) for i in range(12)]
-    monkeypatch.setattr(decontaminate, "INDEX_WORDS", 60)
-    assert len(decontaminate._blocks(bench)) > 2
-    got = {(r["doc_id"], x["item_id"]) for r in decontaminate.with_leaks(docs_of(rows), bench).collect() for x in r["leaks"]}
-    assert got == {(i, i) for i in range(12)}
-
-
 def test_every_planted_item_is_found(spark, small):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op7_decontamination(spark, DATA).collect()}
     cut = lambda t: " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t))) + " "
@@ -158,45 +149,84 @@ def planted(item, places, seed):
     return " ".join([prose(seed, 20), *words, prose(seed + 1, 20)]).encode()
 
 
-def test_leaks_of_whole_items_by_share():
+def leaks_of(spark, docs_of, items, texts):
+    """By text: (item, equal words, words of the stretch, first word)."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.with_leaks(docs_of([(i, t.decode()) for i, t in enumerate(texts)]), bench).select("doc_id", "leaks").collect()
+    return [[(x["item_id"], x["equal_words"], x["stretch_words"], x["start_word"]) for x in r["leaks"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_leaks_of_whole_items_by_share(spark, docs_of):
     """Few substitutions in a short item leave no stretch of LEAST equal words, but most of the item in place."""
     item = prose(80, 16)
-    index = decontaminate.Index([item.encode()])
-    for places, want in (({1, 6, 11}, (0, 13, 16, 20)), ({2, 7, 12}, (0, 13, 16, 20)), ({0, 5}, (0, 14, 15, 21))):
-        assert index.leaks([planted(item, places, 81)]) == [[want]]
-    assert index.leaks([planted(item, {1, 3, 5, 7, 9, 11}, 81)]) == [[]]
+    cases = [({1, 6, 11}, [(0, 13, 16, 20)]), ({2, 7, 12}, [(0, 13, 16, 20)]), ({0, 5}, [(0, 14, 15, 21)]), ({1, 3, 5, 7, 9, 11}, [])]
+    assert leaks_of(spark, docs_of, [item], [planted(item, places, 81) for places, _ in cases]) == [want for _, want in cases]
 
 
 def brute_leaks(items, text):
-    """Items of which 2/3 of the words are in the text at one distance."""
+    """Items of which 2/3 of the words are in the text at one distance, or of which a stretch scores as the rule says."""
     words, out = text.decode().split(), set()
     for i, item in enumerate(t.split() for t in items):
-        if any(sum(a == b for a, b in zip(item[max(0, -s) :], words[max(0, s) :], strict=False)) * 3 >= len(item) * 2 for s in range(-len(item), len(words))):
-            out.add(i)
+        for s in range(-len(item), len(words)):
+            equal = [a == b for a, b in zip(item[max(0, -s) :], words[max(0, s) :], strict=False)]
+            if sum(equal) * 3 >= len(item) * 2:
+                out.add(i)
+            elif sum(equal) >= decontaminate.LEAST:
+                best, here, same = (0, 0), 0, 0
+                for e in equal:  # the best-scoring stretch, the shorter of equals
+                    here, same = (0, 0) if here <= 0 else (here, same)
+                    here, same = here + (1 if e else -2), same + e
+                    best = max(best, (here, same), key=lambda x: x[0])
+                if best[1] >= decontaminate.LEAST:
+                    out.add(i)
     return out
 
 
-def test_leaks_with_substitutions_against_brute_force():
+def test_leaks_with_substitutions_against_brute_force(spark, docs_of):
+    """Nothing but leaks is found, and every one of whole items."""
     rng = random.Random(12)
-    items = [prose(1000 + n, n) for n in range(12, 25)]
-    index, texts = decontaminate.Index([t.encode() for t in items]), []
+    items, texts = [prose(1000 + n, n) for n in range(12, 25)], []
     for t in items:
         n = t.count(" ") + 1
         texts += [planted(t, {k for k in range(n) if rng.random() < rate}, rng.randrange(10**6)) for rate in (0.1, 0.2, 0.3) for _ in range(12)]
         texts += [planted(t, set(range(first, n, step)), 7) for step in (3, 4) for first in range(step)]
     want = [brute_leaks(items, t) for t in texts]
-    got = [{i for i, *_ in found} for found in index.leaks(texts)]
+    got = [{i for i, *_ in found} for found in leaks_of(spark, docs_of, items, texts)]
     assert sum(map(len, want)) > 300
-    assert all(w <= g for w, g in zip(want, got, strict=True))
+    assert got == want
 
 
-def test_leaks_of_short_items():
+def test_leaks_of_short_items(spark, docs_of):
     """Items below 12 words are found with changed words; two of eight, three of nine to eleven."""
-    for n in range(decontaminate.SHORTEST, 12):
-        index = decontaminate.Index([prose(2000 + n, n).encode()])
-        texts = [planted(prose(2000 + n, n), set(places), 9) for places in itertools.combinations(range(n), n // 3)]
-        assert all([i for i, *_ in found] == [0] for found in index.leaks(texts))
-        assert index.leaks([planted(prose(2000 + n, n), set(range(n // 3 + 1)), 9)]) == [[]]
+    sizes = range(decontaminate.SHORTEST, 12)
+    items, texts, want = [prose(2000 + n, n) for n in sizes], [], []
+    for i, n in enumerate(sizes):
+        for places in itertools.combinations(range(n), n // 3):
+            texts.append(planted(items[i], set(places), 9))
+            want.append([i])
+        texts.append(planted(items[i], set(range(n // 3 + 1)), 9))
+        want.append([])
+    assert [[i for i, *_ in found] for found in leaks_of(spark, docs_of, items, texts)] == want
+
+
+def test_leaks_query(spark, small):
+    """The query on the smallest tables, against every shift of every item over every text."""
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = {r["item_id"]: cut(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    got = {(r["doc_id"], r["item_id"]): r["equal_words"] for r in decontaminate.op7_decontamination(spark, DATA).collect()}
+    want = {}
+    for r in small.collect():
+        words = cut(r["text"])
+        at = defaultdict(list)
+        for k, w in enumerate(words):
+            at[w].append(k)
+        for i, item in items.items():
+            lines = Counter(k - j for j, w in enumerate(item) for k in at.get(w, ()))
+            top = max(lines.values(), default=0)
+            if len(item) >= decontaminate.SHORTEST and top * 3 >= len(item) * 2:
+                want[r["doc_id"], i] = top
+    assert want and want.items() <= got.items()
+    assert all(v >= decontaminate.LEAST for k, v in got.items() if k not in want)
 
 
 def test_masks_cover_all_choices_of_equal_words():

@@ -204,7 +204,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
         F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(groups)))).otherwise(F.concat_ws(":", F.hex("root"), F.least("block", "other"), F.greatest("block", "other"))).alias("task"),
     )
 
-    bits = _candidate_bits(found.select("node"))
+    bits = candidate_bits(found.select("node"))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,18 +242,23 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return marked.dropDuplicates(["class_id", "__class"]).select(*[F.col(f"__own{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _candidate_bits(nodes: DataFrame) -> np.ndarray:
-    """A bitmap by the first bytes of the node: at most 2**FILTER_BITS bits, whatever the number of nodes."""
-    n = max(1, nodes.count())
-    width = min(FILTER_BITS, max(15, math.ceil(math.log2(16 * n))))
-    at = F.conv(F.substring(F.hex("node"), 1, 16), 16, 10).cast("decimal(20,0)") % (1 << width)
-    rows = nodes.select(at.cast("long").alias("at")).groupBy(F.expr("at div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits")).collect()
+def bits_of(places: DataFrame, width: int) -> np.ndarray:
+    """A bitmap of 2**width bits (15 at least) with the bits of ``places`` (at) set."""
+    rows = places.groupBy(F.expr("at div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits")).collect()
     out = np.zeros(1 << (width - 3), np.uint8)
     for r in rows:
         out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def candidate_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap by the first bytes of the node: at most 2**FILTER_BITS bits, whatever the number of nodes."""
+    n = max(1, nodes.count())
+    width = min(FILTER_BITS, max(15, math.ceil(math.log2(16 * n))))
+    at = F.conv(F.substring(F.hex("node"), 1, 16), 16, 10).cast("decimal(20,0)") % (1 << width)
+    return bits_of(nodes.select(at.cast("long").alias("at")), width)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id", "rep_id", "n_links")
