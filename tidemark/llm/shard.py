@@ -25,6 +25,7 @@ gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,10 +39,10 @@ SLOT_ROWS = 100_000
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
-def _ordinal(c: Column, kind: str) -> Column:
-    """A non-negative 32-bit coordinate that keeps the order of the values (strings: of their first four bytes)."""
+def _ordinal(c: Column, kind: str, skip: int = 0) -> Column:
+    """A non-negative 32-bit coordinate that keeps the order of the values (strings: of their four bytes after the first ``skip``)."""
     if kind == "string":
-        at = F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 8), 8, "0"), 16, 10).cast("long")
+        at = F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1 + 2 * skip, 8), 8, "0"), 16, 10).cast("long")
     else:
         at = F.greatest(F.lit(0), F.least(F.lit((1 << 32) - 1), c.cast("double"))).cast("long")
     return F.coalesce(at, F.lit(0).cast("long"))
@@ -51,8 +52,12 @@ def points(docs: DataFrame) -> DataFrame:
     """(key, weight, copies, d0..d3, tie) of every different text; docs has key, size and the metadata."""
     own = {"source": F.min("source"), "lang": F.min("lang"), "size": F.min("size"), "doc_id": F.min("doc_id")}
     kinds = dict(docs.dtypes)
+    names = [d for d in DIMENSIONS if kinds[d] == "string"]
+    # What the least and the greatest value begin with, all values begin with: it says nothing about order.
+    ends = docs.agg(*[f(d).alias(f"{n}_{d}") for d in names for n, f in (("a", F.min), ("b", F.max))]).first() if names else {}
+    skip = {d: len(os.path.commonprefix([(ends[f"a_{d}"] or "").encode(), (ends[f"b_{d}"] or "").encode()])) for d in names}
     agg = docs.groupBy("key").agg(F.sum("size").alias("weight"), F.count("*").alias("copies"), *[own[d].alias(f"v_{d}") for d in DIMENSIONS])
-    return agg.select("key", "weight", "copies", *[_ordinal(F.col(f"v_{d}"), kinds[d]).alias(f"d{i}") for i, d in enumerate(DIMENSIONS)], F.shiftrightunsigned(F.xxhash64("key"), 33).alias("tie"))
+    return agg.select("key", "weight", "copies", *[_ordinal(F.col(f"v_{d}"), kinds[d], skip.get(d, 0)).alias(f"d{i}") for i, d in enumerate(DIMENSIONS)], F.shiftrightunsigned(F.xxhash64("key"), 33).alias("tie"))
 
 
 class Cell:
@@ -185,30 +190,33 @@ def shards(docs: DataFrame, n: int | None = None, target_bytes: int | None = Non
     # Copies of a heavy point: one shard, or, for one above a shard, the whole shards first and the rest where it was placed.
     leaf = int(meta.agg(F.sum("size")).first()[0] or 0) / n
     rows = [(bytearray(k), [s for first, count in runs for s in range(first, first + count)]) for k, runs in sorted(by_key.items())]
+    # Texts of few bytes but many copies (empty ones, say) would be one hot key of a join: they are told by broadcast too.
+    crowded = pts.where(F.col("copies") > max(1.0, meta.count() * HEAVY / n)).select("key")  # at most n / HEAVY
+    rows += [(bytearray(r["key"]), [r["shard"]]) for r in light.join(F.broadcast(crowded), "key").collect()]
     table = spark.createDataFrame(rows, "key binary, homes array<int>")
-    few = F.broadcast(table)  # at most n / HEAVY rows
+    few = F.broadcast(table)  # at most 2 n / HEAVY rows
     of_heavy = meta.join(few, "key")
     single = of_heavy.where(F.size("homes") == 1).withColumn("shard", F.element_at("homes", 1))
     split = of_heavy.where(F.size("homes") > 1)
     if any(len(h) > 1 for _, h in rows):
         # Number the copies of a split point without one task for all: count by hash range first.
-        numbered = gapless(split, "key", F.xxhash64("doc_id", "source", "lang"), "copy_no")
+        numbered = gapless(split, "key", ["doc_id", "source", "lang"], "copy_no")
         split = numbered.withColumn("shard", F.element_at("homes", F.least(F.floor(F.col("copy_no") * F.col("size") / F.lit(leaf)), F.size("homes") - 1).cast("int") + 1)).drop("copy_no")
     else:
         split = split.withColumn("shard", F.lit(0))
     rest = meta.join(few.select("key"), "key", "left_anti").join(light, "key")
     columns = ["doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard")]
     placed = save(rest.select(*columns).unionByName(single.select(*columns)).unionByName(split.select(*columns)))
-    return gapless(placed, "shard", F.xxhash64("doc_id"), "slot")
+    return gapless(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
 
 
-def gapless(df: DataFrame, group: str, spread: Column, name: str) -> DataFrame:
-    """``df`` with numbers from 0 without gaps in each group.  Groups are cut into parts by a hash, parts are numbered apart and shifted by the sizes of those before."""
+def gapless(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with numbers from 0 without gaps in each group.  Groups are cut into parts by a hash of ``order``, parts are numbered apart and shifted by the sizes of those before; rows equal in ``order`` may swap numbers."""
     parts = max(1, math.ceil(df.count() / SLOT_ROWS)) * 4
-    cut = df.withColumn("__part", F.pmod(spread, F.lit(parts)).cast("int"))
+    cut = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     sizes = cut.groupBy(group, "__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce("__before", F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy("doc_id")) - 1
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1
     return cut.withColumn("__i", inside).join(before, (F.col(group) == F.col("__g")) & (F.col("__part") == F.col("__p"))).withColumn(name, (F.col("__i") + F.col("__before")).cast("long")).drop("__part", "__i", "__before", "__g", "__p")
 
 
