@@ -343,6 +343,37 @@ def test_shards_by_target_and_empty(docs_of):
     assert shard.shards(docs_of([]), 4).count() == 0
 
 
+def test_shards_query(spark, small):
+    out = shard.op1_sharding(spark, DATA).toPandas()
+    rows = small.toPandas()
+    size = {d: len((t or "").encode()) + 1 for d, t in zip(rows["doc_id"], rows["text"], strict=True)}
+    check = {d: zlib.crc32((t or "").encode()) for d, t in zip(rows["doc_id"], rows["text"], strict=True)}
+    assert sorted(out["doc_id"]) == sorted(rows["doc_id"])
+    assert dict(zip(out["doc_id"], out["size"], strict=True)) == size and dict(zip(out["doc_id"], out["text_crc32"], strict=True)) == check
+    assert set(out["shard"]) == set(range(16)) and set(out["law"]) == {"bytes"} and out["grown_shard"].isna().all()
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    bytes_ = out.groupby("shard")["size"].sum()
+    assert bytes_.max() - bytes_.min() <= max(size.values())
+
+
+def test_shards_of_many_small_copies(docs_of):
+    rows = [(i, None if i % 2 else "") for i in range(3000)] + [(None, "")] * 20 + [(5000 + i, prose(i, 200)) for i in range(200)]
+    out = shard.shards(docs_of(rows), 8).toPandas()
+    assert len(out) == len(rows) and out[out["size"] == 1]["shard"].nunique() == 1
+    bytes_ = out.groupby("shard")["size"].sum()
+    assert bytes_.max() / bytes_.min() < 1.1
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_shard_coordinates_of_names_with_a_common_start(docs_of):
+    docs = docs_of([(i, str(i)) for i in range(30)]).selectExpr("doc_id", "lang", "length(text) + 1L as size", "cast(text as binary) as key", "concat('https://www.', char(97 + cast(doc_id % 10 as int)), '.org') as source")
+    points = shard.points(docs).toPandas()
+    assert points["d0"].nunique() == 10 and points["d1"].nunique() == 1
+    order = [chr(97 + int(k) % 10) for k in points.sort_values("d0")["key"]]
+    assert order == sorted(order)
+
+
 # -- chat formatting
 
 
@@ -373,6 +404,22 @@ def test_chat_long_chain_and_empty(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_chat_cycles_end_the_rounds(spark, monkeypatch):
+    tables = []
+
+    class Counted(chat.Saved):
+        def __init__(self, df):
+            tables.append(1)
+            super().__init__(df)
+
+    monkeypatch.setattr(chat, "Saved", Counted)
+    rows = [("t", 1, 2), ("t", 2, 1), ("t", 3, 2), ("t", 4, 4), ("t", 5, None), ("t", 6, 5), ("t", 7, 6)]
+    df = spark.createDataFrame([(t, n, p, 1.0, "assistant", str(n)) for t, n, p in rows], "tree string, node long, parent long, score double, role string, text string")
+    r = chat.conversations(df, branches=5).collect()
+    assert [(x["leaf"], x["formatted"].count("</turn>")) for x in r] == [(7, 3)] and len(tables) < 12
+    assert [r[0]["formatted"][s["start"] : s["end"]] for s in r[0]["loss_spans"]] == ["5", "6", "7"]
+
+
 # -- language model
 
 

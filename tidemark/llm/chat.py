@@ -53,9 +53,13 @@ def linear(rows: DataFrame) -> DataFrame:
 def _climb(links: DataFrame) -> DataFrame:
     """(tree, node, depth, total) of every message that a root can be reached from; root: depth 0."""
     up = Saved(links.select("tree", "node", F.col("parent").alias("above"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total")))
+    before = None
     for _ in range(ROUNDS):
-        if not up.df.where("above is not null").take(1):
+        # Round k settles the depths from 2**(k-1) to 2**k - 1: after one that settles none, what is open hangs on cycles.
+        left = up.df.where("above is not null").count()
+        if left in (0, before):
             break
+        before = left
         there = up.df.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
         open_, done = up.df.where("above is not null"), up.df.where("above is null")
         joined = open_.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("above") == F.col("n"))).select("tree", "node", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"))
@@ -85,18 +89,17 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # Members of the chosen paths: each round appends the ancestors 2**k steps above those known so far.
     members = Saved(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", "depth"))
     jump = Saved(links.select("tree", "node", F.col("parent").alias("above")))
-    for _ in range(ROUNDS):
+    deepest, step = members.df.agg(F.max("depth")).first()[0] or 0, 1
+    while step <= deepest:
         to = jump.df.where("above is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
-        if not to.take(1):
-            break
-        step = 1 << _
         more = members.df.join(to, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("above").alias("node"), (F.col("depth") - step).alias("depth"))
         grown = Saved(members.df.unionByName(more))
         twice = to.alias("x").join(to.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("above").alias("above2")), F.col("t").eqNullSafe(F.col("t2")) & (F.col("above") == F.col("n2"))).select(F.col("t").alias("tree"), F.col("n").alias("node"), F.col("above2").alias("above"))
         doubled = Saved(twice)
         members.drop()
         jump.drop()
-        members, jump = grown, doubled
+        members, jump, step = grown, doubled, 2 * step
+    jump.drop()
     return members.df
 
 
@@ -106,14 +109,14 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     on = save(paths(messages, branches))
     texts = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = on.join(texts, F.col("tree").eqNullSafe(F.col("t")) & F.col("node").eqNullSafe(F.col("n"))).select("tree", "leaf", "rank", "depth", F.concat(F.lit("### "), escape_role(F.col("role")), F.lit(": ")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
-    turns = rows.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "head", "body", "loss"))).alias("turns"))
-    size = lambda t: F.length(t.head) + F.length(t.body) + len(END)
-    ends = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + size(t))))
-    spans = F.transform("turns", lambda t, i: F.struct((F.get("__ends", i) + F.length(t.head)).alias("start"), (F.get("__ends", i) + F.length(t.head) + F.length(t.body)).alias("end"), t.loss.alias("loss")))
-    return turns.withColumn("__ends", ends).select(
+    # The end of each body is a running sum over the same partitions as the group's, so there is one shuffle.
+    so_far = Window.partitionBy("tree", "leaf", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.length("head") + F.length("body") + len(END)).over(so_far) - len(END))
+    turns = rows.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "head", "body", "loss", "end"))).alias("turns"))
+    return turns.select(
         "tree", "leaf", "rank",
         F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(END))), "").alias("formatted"),
-        F.transform(F.filter(spans, lambda s: s.loss), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("loss_spans"),
+        F.transform(F.filter("turns", lambda t: t.loss), lambda t: F.struct((t.end - F.length(t.body)).alias("start"), t.end.alias("end"))).alias("loss_spans"),
     )
 
 
