@@ -449,7 +449,19 @@ def test_alert_evaluation(spark):
 
 def test_alert_window_straddles_buckets(spark):
     p = points(spark, [("m", {}, 1150, 100.0), ("m", {}, 1210, 1.0)])
-    assert alerts.rule_values(p, alerts.Rule(1, "r", "m", "above", 5.0), 1300).first()["value"] == 1.0
+    assert alerts.rule_values(p, [alerts.Rule(1, "r", "m", "above", 5.0)], 1300).first()["value"] == 1.0
+
+
+def test_rules_of_one_window_share_a_scan(spark, tmp_path):
+    rows = [(m, {"host": h}, 1000 + 50 * i, float(10 * i + len(m))) for m in ("cpu", "disk", "load") for h in ("a", "b") for i in range(8)] + [("cpu", {}, 1200, 7.0)]
+    points(spark, rows).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    rules = [alerts.Rule(1, "r", "cpu", "above", 5.0), alerts.Rule(2, "r", "cpu", "above", 5.0, labels={"host": "a"}), alerts.Rule(3, "r", "disk", "below", 5.0, labels={"host": not_eq("a")}), alerts.Rule(4, "r", "none", "above", 1.0), alerts.Rule(5, "r", "cpu", "above", 5.0, aggregate="max")]
+    values = lambda df: sorted((r["rule_id"], r["series_key"], r["value"]) for r in df.collect())
+    got = alerts.rule_values(p, rules, 1400)
+    assert values(got) == sorted(v for r in rules for v in values(alerts.rule_values(p, [r], 1400)))
+    assert sorted(r["rule_id"] for r in got.collect()) == [1, 1, 1, 2, 3, 5, 5, 5]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
 
 
 def test_catalog(spark):

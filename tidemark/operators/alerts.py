@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.matchers import Matcher
-from tidemark.operators.query import aggregate_multi
+from tidemark.functions.matchers import Matcher, label_filter, metric_filter
+from tidemark.operators.aggregates import bucketed
 
 LEAST_WINDOW = 600
 KEEP_HISTORY = 7 * 86400
@@ -82,10 +83,24 @@ def load_rules(rules: DataFrame) -> list[Rule]:
     return [Rule(r["id"], r["name"], r["metric"], r["condition"], r["threshold"], r["duration"], r["aggregate"], {k: matcher(v) for k, v in (r["labels"] or {}).items()}, r["enabled"], r["webhook_url"]) for r in rules.orderBy("id").collect()]
 
 
-def rule_values(points: DataFrame, rule: Rule, now: int) -> DataFrame:
-    """(rule_id, series_key, value): last bucket of the window that ends now.  Buckets follow the epoch, so it usually covers less than the window."""
-    rows = aggregate_multi(points, rule.metric, rule.labels, rule.window, rule.aggregate, now - rule.window, now)
-    return rows.groupBy("series_key").agg(F.max_by("value", "bucket").alias("value")).select(F.lit(rule.id).cast("long").alias("rule_id"), "series_key", "value")
+def rule_values(points: DataFrame, rules: Sequence[Rule], now: int) -> DataFrame:
+    """(rule_id, series_key, value): last bucket of each rule's window, which ends now.  Buckets follow the epoch, so it usually covers less than the window.
+
+    Rules of the same window and aggregate share one scan: points that any of them asks for are bucketed once, and each series goes to all its rules.
+    """
+    shared: dict[tuple[int, str], list[Rule]] = {}
+    for r in rules:
+        shared.setdefault((r.window, r.aggregate), []).append(r)
+    parts = []
+    for (window, aggregate), same in shared.items():
+        hits = [(r.id, metric_filter(r.metric) & label_filter(r.labels)) for r in same]
+        wanted = F.coalesce(*[F.when(h, True) for _, h in hits], F.lit(False))
+        if all(isinstance(r.metric, str) for r in same):  # names reach the scan, whatever the labels
+            wanted = F.col("metric").isin(*sorted({r.metric for r in same})) & wanted
+        series = bucketed(points.where(F.col("ts").between(now - window, now) & wanted), window, aggregate)
+        ids = F.array_compact(F.array(*[F.when(h, F.lit(i).cast("long")) for i, h in hits]))
+        parts.append(series.select(F.explode(ids).alias("rule_id"), "series_key", "bucket", "value").groupBy("rule_id", "series_key").agg(F.max_by("value", "bucket").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def breach(value: Column, condition: Column, limit: Column) -> Column:
@@ -136,9 +151,7 @@ def evaluate(points: DataFrame, rules: Sequence[Rule], states: DataFrame, now: i
     on = [r for r in rules if r.enabled]
     if not on:
         return states, spark.createDataFrame([], HISTORY)
-    values = rule_values(points, on[0], now)
-    for r in on[1:]:
-        values = values.unionByName(rule_values(points, r, now))
+    values = rule_values(points, on, now)
     table = spark.createDataFrame([(r.id, r.condition, float(r.threshold), r.duration) for r in on], "rule_id long, condition string, threshold double, duration long")
     old = states.select("rule_id", "series_key", "state", "triggered_at", "resolved_at", F.col("value").alias("old_value"))
     rows = values.join(F.broadcast(table), "rule_id").join(old, ["rule_id", "series_key"], "full_outer")

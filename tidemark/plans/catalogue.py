@@ -580,7 +580,7 @@ _RULE = alerts.Rule(1, "views", VIEW, "above", 30.0, 86400, "avg")
 
 @registered("alert_value_e2", "WITH $P1, s AS (SELECT usr, (ts // 86400) * 86400 AS bucket, avg(value) AS v FROM p WHERE metric = 'event_view' AND ts BETWEEN 1705276800 + 40000 - 86400 AND 1705276800 + 40000 GROUP BY 1, 2) SELECT usr, round(arg_max(v, bucket), 6) AS value FROM s GROUP BY 1")
 def _(spark, d):
-    out = alerts.rule_values(events(spark, d), _RULE, 1705276800 + 40000)
+    out = alerts.rule_values(events(spark, d), [_RULE], 1705276800 + 40000)
     return out.select(F.get_json_object("series_key", "$.user").alias("usr"), rnd())
 
 

@@ -17,7 +17,7 @@ from tidemark.model import LABELS, points, text_points
 #: Distance of the numbers of two lines, and bits for the line inside a file split.
 LINE, SPLIT_BITS = 1 << 20, 23
 BODY_LIMIT = 10 * 1024 * 1024
-_NUMBER = r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
+_NUMBER = r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\z"
 
 
 @dataclass
@@ -52,9 +52,10 @@ def from_text(spark: SparkSession, body: str, first: int = 0) -> DataFrame:
     return spark.createDataFrame([(x, first + i * LINE) for i, x in enumerate(body.split("\n"))], "line string, seq long")
 
 
-def _finite(text: Column) -> Column:
-    v = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    return F.when(F.abs(v) < float("inf"), v)
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` (line, seq) with columns that are computed once a line: filters are not moved before a generator, so they don't spell its results out again."""
+    whole = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__r")
+    return df.select("line", "seq", whole).select("line", "seq", *[F.col(f"__r.{k}").alias(k) for k in columns])
 
 
 def vm_json(lines: DataFrame) -> Parsed:
@@ -62,10 +63,10 @@ def vm_json(lines: DataFrame) -> Parsed:
 
     Numbers become points, strings text points; any bad element fails its whole line.
     """
-    doc = lines.where(F.trim("line") != "").withColumn("v", F.expr("try_parse_json(line)"))
-    doc = doc.select("line", "seq", F.expr("try_variant_get(v, '$.metric', 'map<string,string>')").alias("m"), F.expr("try_variant_get(v, '$.values', 'array<variant>')").alias("vals"), F.expr("try_variant_get(v, '$.timestamps', 'array<variant>')").alias("tss"))
+    doc = _once(lines.where(F.trim("line") != ""), v=F.expr("try_parse_json(line)"))
+    doc = _once(doc, m=F.expr("try_variant_get(v, '$.metric', 'map<string,string>')"), vals=F.expr("try_variant_get(v, '$.values', 'array<variant>')"), tss=F.expr("try_variant_get(v, '$.timestamps', 'array<variant>')"))
     doc = doc.withColumn("vt", F.expr("transform(vals, x -> coalesce(schema_of_variant(x), 'VOID'))")).withColumn("tt", F.expr("transform(tss, x -> coalesce(schema_of_variant(x), 'VOID'))"))
-    good = F.expr("m is not null and vals is not null and tss is not null and size(vals) = size(tss) and forall(vt, t -> t rlike '^(BIGINT|DECIMAL|DOUBLE|STRING)') and forall(tt, t -> t = 'BIGINT')")
+    good = F.expr("m is not null and vals is not null and tss is not null and size(vals) = size(tss) and forall(vt, t -> substring(t, 1, 6) in ('BIGINT', 'DECIMA', 'DOUBLE', 'STRING')) and forall(tt, t -> t = 'BIGINT')")
     doc = doc.withColumn("good", F.coalesce(good, F.lit(False)))
     rows = doc.where("good").select("m", "seq", F.expr("posexplode(arrays_zip(vals, tss, vt))").alias("i", "p"))
     rows = rows.select(F.coalesce(F.col("m")["__name__"], F.lit("unknown")).alias("metric"), F.map_filter("m", lambda k, _: k != "__name__").alias("labels"), F.expr("try_variant_get(p.tss, '$', 'bigint')").alias("ts"), (F.col("seq") + F.col("i")).alias("seq"), F.expr("p.vt = 'STRING'").alias("is_text"), F.expr("try_variant_get(p.vals, '$', 'string')").alias("s"), F.expr("case when p.vt <> 'STRING' then try_variant_get(p.vals, '$', 'double') end").alias("d"))
@@ -84,13 +85,14 @@ def _label_pairs(text: Column) -> Column:
 
 def prometheus(lines: DataFrame, now: int, milliseconds: bool = True) -> Parsed:
     """Exposition text.  Quoted values are kept as written; NaN and infinities are errors; times are milliseconds, missing or unreadable ones are now."""
-    body = lines.withColumn("t", F.trim(F.regexp_replace("line", r"\r$", ""))).where("t <> '' and not startswith(t, '#')")
+    body = lines.withColumn("t", F.trim(F.rtrim("line", F.lit("\r")))).where("t <> '' and not startswith(t, '#')")
     head = r"^([^{ \t]+)[ \t]*(?:\{([^}]*)\}[ \t]*|[ \t])[ \t]*([^ \t]+)(?:[ \t]+([^ \t]+))?.*$"
     parts = body.select("line", "seq", *[F.regexp_extract("t", head, i).alias(n) for i, n in enumerate(("metric", "pairs", "number", "time"), 1)])
-    parts = parts.withColumn("value", _finite(F.col("number")))
+    # Filters get every column they name spelled out, so they name the value, which is null or infinite in bad lines, and once.
+    parts = parts.withColumn("value", F.regexp_extract("number", _NUMBER, 0).try_cast("double"))
     at = F.when(F.col("time").rlike(r"^[-+]?[0-9]+$"), F.col("time").try_cast("long"))
     ts = F.when(F.coalesce(at, F.lit(0).cast("long")) == 0, F.lit(now).cast("long")).otherwise(F.expr("try_cast(time as bigint) div 1000L") if milliseconds else at)
-    good = (F.col("metric") != "") & F.col("value").isNotNull()
+    good = F.abs("value") < float("inf")
     ok = parts.where(good).withColumn("labels", F.when(F.col("pairs") == "", F.create_map().cast(LABELS)).otherwise(_label_pairs(F.col("pairs"))))
     return Parsed(points(ok, F.col("metric"), F.col("labels"), ts, F.col("value"), F.col("seq")), parts.where(~F.coalesce(good, F.lit(False))).select("line", "seq"))
 
@@ -107,7 +109,7 @@ def influx(lines: DataFrame, now: int) -> Parsed:
     number = lambda v: F.regexp_extract(v, r"^[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?", 0)
     pairs = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: F.instr(x, "=") > 1), pair)
     usable = lambda f: ~f.v.startswith('"') & ~f.v.isin(*_SKIPPED) & (number(f.v) != "")
-    parts = parts.withColumn("numeric", F.filter(pairs(F.col("fields")), usable)).withColumn("measurement", F.substring_index("key", ",", 1))
+    parts = _once(parts, numeric=F.filter(pairs(F.col("fields")), usable), measurement=F.substring_index("key", ",", 1), key=F.col("key"), time=F.col("time"))
     parts = parts.withColumn("tags", F.map_from_entries(pairs(F.regexp_replace("key", "^[^,]*,?", ""))))
     good = (F.col("measurement") != "") & (F.size("numeric") > 0)
     rows = parts.where(good).select("seq", "measurement", "tags", "time", (F.size("numeric") == 1).alias("one"), F.posexplode("numeric").alias("i", "f"))
