@@ -33,6 +33,23 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_join_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 10)
+    rows = [(k, i) for k, n in ((1, 300), (2, 11), (3, 10), (4, 1)) for i in range(n)] + [(None, 7), (5, 7)]
+    left = spark.createDataFrame(rows, "k long, `__hot0` long").withColumn("a.b", F.lit("x"))
+    keyed = spark.createDataFrame([(1, 300, "a"), (2, 11, "b"), (3, 10, "c"), (4, 1, "d"), (9, 0, "z")], "k long, n long, v string")
+    got = graph.join_apart(left, keyed, "k", "n", len(rows))
+    assert got.columns == ["k", "__hot0", "a.b", "v"]
+    assert Counter(map(tuple, got.collect())) == Counter((k, i, "x", "abcd"[k - 1]) for k, i in rows if k in (1, 2, 3, 4))
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 10)
+    edges = [(0, i) for i in range(1, 80)] + [(200, i) for i in range(201, 260)] + [(259, 300), (300, 301)] + [(500 + i, 499) for i in range(1, 30)] + [(499, 79)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 200 if 200 <= x <= 301 else 0 for e in edges for x in e}
+
+
 # -- n-gram join
 
 
@@ -93,6 +110,7 @@ def test_near_against_brute_force(docs_of):
 
 def test_near_large_groups_in_blocks(docs_of, monkeypatch):
     monkeypatch.setattr(near, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(graph, "HOT", 3)
     rows = corpus()
     got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in near.classes(docs_of(rows)).collect()]
     assert result(got) == result(brute_classes(rows))

@@ -9,7 +9,8 @@ the sets of documents to be compared.  Inside a component all pairs are verified
 on the full sets, in blocks of bounded size, by counts of common windows: what
 leaves a block is one row per document (its number of links and the least
 document it is connected with), never the pairs.  So a group of any size is
-compared whole, and no task holds more than two blocks.
+compared whole, and no task holds more than two blocks.  Rows of hot keys (a band,
+class or text that very many share) are joined where they are.
 
 Equal texts are one node from the start.  Result per row of the input: class_id
 (least doc_id of all documents connected by links or equal texts), rep_id (least
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrow_text import SPACES, Words, map_texts, mix, ngram_hashes
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, join_apart
 from tidemark.llm.store import save
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -186,8 +187,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     signed = save(signed.select("node", "bands", "n_windows").dropDuplicates(["node"]))
 
     banded = signed.select("node", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
-    stars = banded.join(heads, "band").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.count("*").alias("n")).where("head < tail").select("band", "head", "n")
+    stars = join_apart(banded, heads, "band", "n", bands * signed.count()).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = save(components(stars))
 
     weights = found.join(signed.select("node", "n_windows"), "node")
@@ -225,12 +226,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     links = checked.groupBy("node").agg(F.sum("n").alias("n_links"))
     roots = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
-    ids = src.groupBy("__node").agg(F.min(doc_id).alias("rep_id"))
+    ids = src.groupBy("__node").agg(F.min(doc_id).alias("rep_id"), F.count("*").alias("rows"))
     nodes = ids.join(links, ids["__node"] == links["node"], "left").drop("node").join(roots, ids["__node"] == roots["node"], "left")
-    nodes = save(nodes.select("__node", "rep_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "__node").alias("root")))
-    least = nodes.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    by_node = nodes.join(least, "root").select("__node", F.col("root").alias("__class"), "rep_id", "class_id", "n_links")
-    return src.join(by_node, "__node").drop("__node")
+    nodes = save(nodes.select("__node", "rep_id", "rows", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "__node").alias("root")))
+    size = nodes.agg(F.count("*").alias("nodes"), F.sum("rows").alias("rows")).first()
+    least = nodes.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.count("*").alias("n"))
+    by_node = save(join_apart(nodes, least, "root", "n", size["nodes"]).select("__node", F.col("root").alias("__class"), "rep_id", "class_id", "n_links", "rows"))
+    return join_apart(src, by_node, "__node", "rows", size["rows"] or 0).drop("__node")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
