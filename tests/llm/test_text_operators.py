@@ -128,6 +128,8 @@ def test_pii_query(spark, small):
         g = got[r["doc_id"]]
         assert tuple(g[f"n_{k}"] for k in pii.BASE) == tuple(sum(s[3] == k for s in spans) for k in pii.BASE)
         assert g["base_sha256"] == hashlib.sha256(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans).encode()).hexdigest()
+        every = [s.split(":")[0] for s in g["spans"].split(",") if s]
+        assert tuple(g[f"n_{k}"] for k in pii.KINDS) == tuple(every.count(k) for k in pii.KINDS) and g["n_spans"] == len(every)
 
 
 def test_pii_added_kinds_need_proof_or_context():
@@ -139,6 +141,16 @@ def test_pii_added_kinds_need_proof_or_context():
     assert pii.redact("x a@b.cc y", pii.spans("x a@b.cc y")) == "x <EMAIL> y"
 
 
+def test_pii_secrets():
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    secrets = lambda t: [t[s.start : s.end] for s in pii.spans(t) if s.kind == "secret"]
+    assert secrets(f'the token = "{key}".') == [key] and secrets(f"API_KEY={key}") == [key] and secrets(f"my api key: {key}, ok") == [key]
+    assert secrets(f'token = "{key}"### that.92@mail2.example.com') == [key] and secrets(f"for example the token {key}") == []
+    assert secrets(f"checksum {key}") == [] and secrets(f"token https://x.org/{key}/y") == []
+    assert secrets("the secret of " + "a" * 40) == [] and secrets("password " + "1" * 40) == [] and secrets("password " + "-" * 50_000) == []
+    assert secrets(f"token {key}@mail.org") == [] and pii.redact(f"token {key}", pii.spans(f"token {key}")) == "token <SECRET>"
+
+
 def test_pii_long_runs_of_zeros_and_many_spans():
     assert [s.kind for s in pii.spans("1.2.3." + "0" * 5000)] == ["ip"] and pii.spans("1.2.3." + "0" * 5000 + "256") == []
     assert [s.kind for s in pii.spans("0000.1.2.3 and 000255.0.0.0")] == ["ip", "ip"]

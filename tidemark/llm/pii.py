@@ -1,10 +1,12 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds (email, ip, card, phone) are kept whatever their score.  Kinds that
-this operator adds (iban, ssn, local phone) need a score of ``LEAST``: the
+this operator adds (iban, ssn, local phone, secret) need a score of ``LEAST``: the
 pattern gives a start value, a passed checksum raises it, and so does a context
 word of the kind within ``NEAR`` characters; a word that speaks against it
-lowers it.  All positions are code points, ends exclusive.
+lowers it.  A secret is a run of 20 or more letters, digits, _, + and - (no slashes,
+which make it a path) with three letters and three digits at least, so only a context
+word makes it one.  All positions are code points, ends exclusive.
 
 Cases: null or empty text has no spans; repeated rows and extra columns pass
 through; an empty table gives an empty result; spans of different kinds may
@@ -27,7 +29,7 @@ from tidemark.llm.arrow_text import map_texts
 
 LEAST = 0.6
 NEAR = 48
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
 BASE = KINDS[:4]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,19 +41,22 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+-]{20,}+=*+(?![A-Za-z0-9_/])")
+_LETTERS, _DIGITS = re.compile(r"(?:[^A-Za-z]*[A-Za-z]){3}"), re.compile(r"(?:[^0-9]*[0-9]){3}")
 _DIGIT = re.compile(r"[0-9]")
 
 _FOR = {
     "iban": re.compile(r"\b(?:iban|account|bank|transfer|konto|compte|cuenta)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social security|tax id|taxpayer)\b", re.I),
     "local_phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|fax|cell)\b", re.I),
+    "secret": re.compile(r"(?:\b|_)(?:tokens?|secrets?|passwords?|passwd|api[ _-]?keys?|access[ _-]?keys?|private[ _-]?keys?|credentials?|auth|bearer)(?:\b|_)", re.I),
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write)\b", re.I),
     "ip": re.compile(r"\b(?:ip|address|server|host|login)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|credit|payment|debit)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|fax|cell)\b", re.I),
 }
-_AGAINST = re.compile(r"\b(?:isbn|issn|version|order no|part no|invoice|example)\b", re.I)
-_START = {"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.4, "local_phone": 0.4}
+_AGAINST = re.compile(r"\b(?:isbn|issn|version|order no|part no|invoice|example(?!\.\w))\b", re.I)
+_START = {"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.4, "local_phone": 0.4, "secret": 0.4}
 
 
 @dataclass(frozen=True)
@@ -126,8 +131,10 @@ def spans(text: str) -> list[Span]:
         more = [("iban", m, mod97(m[0].replace(" ", ""))) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34]
         more += [("ssn", m, False) for m in _SSN.finditer(text) if not re.match(r"000|666|9|...-00|.{7}0000", m[0])]
         more += [("local_phone", m, False) for m in _LOCAL_PHONE.finditer(text)]
+        more += [("secret", m, False) for m in _SECRET.finditer(text) if _LETTERS.match(m[0]) and _DIGITS.match(m[0])]
         for kind, m, confirmed in more:
             before = bisect_right(begins, m.start())
+            # What lies inside a base span is that; an iban needs its checksum.
             if kind == "iban" and not confirmed or before and furthest[before - 1] >= m.end():
                 continue
             if (score := _score(text, kind, m.start(), m.end(), confirmed)) >= LEAST:
@@ -168,5 +175,6 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda kept: F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("pii_spans", lambda s: s.kind.isin(*BASE))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s.kind == kind)).cast("long")
-    counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return docs.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    counts = {k: count(k).alias(f"n_{k}") for k in KINDS}
+    more = [*(counts[k] for k in KINDS if k not in BASE), F.size("pii_spans").cast("long").alias("n_spans")]
+    return docs.select("doc_id", *(counts[k] for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), *more)
