@@ -235,6 +235,26 @@ def test_store(spark, tmp_path):
     assert report["tables"] == {"points": 2}
 
 
+def test_files_of_the_store_follow_days_and_bytes(spark, tmp_path):
+    def append(name, rows, key, value):
+        store, before = Store(spark, str(tmp_path / name)), spark.conf.get(f"spark.sql.adaptive.{key}")
+        spark.conf.set(f"spark.sql.adaptive.{key}", value)
+        try:
+            store.append(rows)
+        finally:
+            spark.conf.set(f"spark.sql.adaptive.{key}", before)
+        return store, len(store.points().inputFiles())
+
+    few = spark.range(1200).selectExpr("'m' as metric", "map('a', string(id % 15)) as labels", "string(id % 15) as series_key", "id * 2160 as ts", "double(id) as value", "id as seq").repartition(3)
+    store, files = append("days", few, "coalescePartitions.enabled", "false")
+    assert files == 30 and store.points().count() == 1200  # 30 days of 15 series: a file each
+    assert store.rollup(5 * 86400, 9 * 86400 + 5) == 8 * 86400
+    assert {r["bucket"] // 86400 for r in store.daily().collect()} == {6, 7, 8}
+    day = few.withColumn("ts", F.col("seq"))
+    large, files = append("large", day.unionByName(day), "advisoryPartitionSizeInBytes", "32k")
+    assert files > 1 and large.points().count() == 2400  # a day larger than a task should read
+
+
 def test_later_writes_win_at_equal_times(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     for v in (5.0, 7.0, 6.0):

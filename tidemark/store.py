@@ -16,10 +16,6 @@ from tidemark.session import ensure
 _ENTRY = "metric string, labels map<string,string>, value double, ts long, seq long"
 
 
-#: Tasks that write one day of one metric.
-SPREAD = 8
-
-
 class Store:
     """Writes and reads the tables below ``path``; queries take the DataFrames that it returns."""
 
@@ -66,19 +62,23 @@ class Store:
 
     def between(self, start: int, end: int) -> DataFrame:
         """The points in [start, end]; only the folders of these days are read."""
+        return self._days(start // 86400, end // 86400).where(F.col("ts").between(start, end))
+
+    def _days(self, first: int, last: int) -> DataFrame:
+        """The points of these days' folders."""
         if not self._exists("points"):
             return self.spark.createDataFrame([], POINTS)
         rows = self.spark.read.schema(T.StructType([*POINTS.fields, T.StructField("day", T.LongType())])).parquet(f"{self.path}/points")
-        days = F.col("day").between(start // 86400, end // 86400)
-        return rows.where(days & F.col("ts").between(start, end)).select(*POINTS.names)
+        return rows.where(F.col("day").between(first, last)).select(*POINTS.names)
 
     def append(self, df: DataFrame, name: str = "points") -> None:
         """Appends points, clustered so that row groups of a file can be skipped by series and time.
 
-        A day of a metric is dealt to SPREAD tasks by series, so that no metric is written by one task.
+        A day of a metric is one file; only where it is larger than a task should read (by the size
+        that the shuffle measured) is it split among tasks.  So files follow days and bytes, and no
+        metric is written by one task.
         """
-        rows = df.withColumn("day", F.expr("ts div 86400")).withColumn("__deal", F.pmod(F.xxhash64("series_key"), F.lit(SPREAD)))
-        rows = rows.repartition("metric", "day", "__deal").sortWithinPartitions("metric", "day", "series_key", "ts").drop("__deal")
+        rows = df.withColumn("day", F.expr("ts div 86400")).hint("rebalance", "metric", "day").sortWithinPartitions("metric", "day", "series_key", "ts")
         rows.write.mode("append").partitionBy("metric", "day").parquet(f"{self.path}/{name}")
 
     def write_batch(self, entries: Iterable[tuple], now: int, first_seq: int | None = None) -> None:
@@ -101,7 +101,8 @@ class Store:
 
     def rollup(self, watermark: int, now: int) -> int:
         """Appends the days completed since the watermark and returns the new one; days that are there already stay as they are."""
-        fresh = rollup.daily_rows(self.points(), watermark, now)
+        # Days are cut towards zero like buckets: those after the watermark and before now are in these folders.
+        fresh = rollup.daily_rows(self._days(watermark // 86400, now // 86400), watermark, now)
         fresh = fresh.join(self.daily().select("metric", "series_key", "bucket"), ["metric", "series_key", "bucket"], "left_anti").select(*fresh.columns)
         fresh.write.mode("append").parquet(f"{self.path}/tier_daily")
         return rollup.next_watermark(watermark, now)
