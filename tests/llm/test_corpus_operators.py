@@ -521,6 +521,21 @@ def test_lm_half_windows_score_each_token_once():
             assert hits == Counter(ids.tolist())
 
 
+def test_lm_steps_of_scoring_are_large_and_do_not_count(monkeypatch):
+    rng, model, calls, whole = np.random.default_rng(4), lm_model(300, 4), [], lm.Attention.log_probability
+    row = lm_row([rng.integers(0, 300, n) for n in (5, 3000, 17, 9000)])
+    want = lm.score_block(model, row, 7)
+    monkeypatch.setattr(lm.Attention, "log_probability", lambda self, *a: calls.append(1) or whole(self, *a))
+    assert lm.score_block(model, row) == pytest.approx(want, rel=1e-6) and len(calls) == 1
+
+
+def test_lm_cuts_what_exponentials_cannot_take():
+    z = np.array([[-500, -60, 0.5, 60, 500]], np.float32)
+    assert lm._bounded(z) is z and z.tolist() == [[-60, -60, 0.5, 60, 60]]
+    x = np.random.default_rng(5).random((5 * lm.HALF, lm.DIM)).astype(np.float32)
+    assert (lm._turned(x) == lm._windows(x).transpose(0, 2, 1)).all() and lm._turned(x).flags.c_contiguous
+
+
 def test_lm_scores_do_not_follow_the_layout(docs_of):
     rows = [(i, prose(i % 90, 40 + i % 50)) for i in range(150)] + ODD
     a, b, c = (sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in lm.score(docs).collect()) for docs in (docs_of(rows).coalesce(1), docs_of(rows).repartition(5), docs_of(rows[::-1]).coalesce(3)))

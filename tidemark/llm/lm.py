@@ -51,6 +51,8 @@ CLASSES, DIM, HALF = 64, 16, 16
 WIDTH = 2 * HALF
 #: Rounds of averaging, each over one step in so many; half windows in a step.
 ROUNDS, BATCH = 3, 256
+#: Half windows that are scored at once; probabilities don't depend on it.
+AT_ONCE = 1024
 #: Bytes of text in a block, about.
 BLOCK = 8 << 20
 GROUPS, SALTS = 64, 8
@@ -226,6 +228,7 @@ class Codes:
                 at = -1 - k
             first.append(len(node))
         self.node, self.sign, self.first = np.array(node, np.int32), np.array(sign, np.float32), np.array(first, np.int64)
+        self.size = np.diff(self.first)
         self.bias = np.array(bias, np.float32)
 
     def start(self) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +240,7 @@ class Codes:
         return of_class[np.append(self.which, CLASSES)], nodes
 
     def length(self, ids: np.ndarray) -> np.ndarray:
-        return self.first[ids + 1] - self.first[ids]
+        return self.size.take(ids)
 
 
 def summed(keys: np.ndarray, columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,10 +248,13 @@ def summed(keys: np.ndarray, columns: list[np.ndarray], size: int) -> tuple[np.n
     there = np.zeros(size, bool)
     there[keys] = True
     met = np.flatnonzero(there)
-    place = np.zeros(size, np.int64)
+    place = np.empty(size, np.int64)
     place[met] = np.arange(len(met))
-    at = place[keys]
-    return met, np.stack([np.bincount(at, c, len(met)).astype(np.float32) for c in columns], axis=1), np.bincount(at, minlength=len(met)).astype(np.float32)
+    at = place.take(keys)
+    sums = np.empty((len(met), len(columns)), np.float32)
+    for k, c in enumerate(columns):
+        sums[:, k] = np.bincount(at, c, len(met))
+    return met, sums, np.bincount(at, minlength=len(met)).astype(np.float32)
 
 
 def _windows(x: np.ndarray) -> np.ndarray:
@@ -258,14 +264,31 @@ def _windows(x: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(x, (len(x) - 1, WIDTH, DIM), (a, b, c), writeable=False)
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The same windows as (n, DIM, WIDTH), copied, since products with turned views are several times slower."""
+    x = x.reshape(-1, HALF, DIM).transpose(0, 2, 1)
+    out = np.empty((len(x) - 1, DIM, WIDTH), np.float32)
+    out[:, :, :HALF] = x[:-1]
+    out[:, :, HALF:] = x[1:]
+    return out
+
+
 def _merged(parts: np.ndarray) -> np.ndarray:
     """Windows (n, WIDTH, DIM) added up to the half windows they consist of."""
-    out = np.zeros((len(parts) + 1, HALF, DIM), np.float32)
+    out = np.empty((len(parts) + 1, HALF, DIM), np.float32)
     out[:-1] = parts[:, :HALF]
+    out[-1] = 0
     out[1:] += parts[:, HALF:]
     return out.reshape(-1, DIM)
 
 
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """Cut to 60 either way in place; nearly always there is nothing to cut, and two reads are cheaper."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        np.clip(z, -60, 60, out=z)
+    return z
+
+
 class Attention:
     """One layer of causal self-attention over windows of subword ids.
 
@@ -293,23 +316,23 @@ class Attention:
     def hidden(self, seen: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Vectors (n * HALF, DIM) from which the next subword is read."""
         p = self.p
-        x = self.vectors[seen.ravel()]
+        x = self.vectors.take(seen.ravel(), 0)
         q, v = (x[HALF:] @ (p["qk"] * self._scale)).reshape(-1, HALF, DIM), x @ p["v"]
-        a = q @ _windows(x).transpose(0, 2, 1)
+        a = q @ _turned(x)
         a += p["place"]
-        np.clip(a, -60, 60, out=a)
-        np.exp(a, out=a)
+        np.exp(_bounded(a), out=a)
         a *= self._mask
         a[fresh, :, :HALF] = 0
-        a /= (a @ np.ones(WIDTH, np.float32))[:, :, None]
-        return x[HALF:] + (a @ _windows(v)).reshape(-1, DIM), (x, q, v, a)
+        a *= (1 / (a @ np.ones(WIDTH, np.float32)))[:, :, None]
+        h = (a @ _windows(v)).reshape(-1, DIM)
+        h += x[HALF:]
+        return h, (x, q, v, a)
 
     def classes(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(natural log probability of the target class, exponentials of all, their sums)."""
         z = h @ self.p["out"]
         z += self.p["bias"]
-        np.clip(z, -60, 60, out=z)
-        got = z[np.arange(len(z)), target]
+        got = _bounded(z).ravel().take(np.arange(0, z.size, CLASSES) + target)
         np.exp(z, out=z)
         total = z @ np.ones(CLASSES, np.float32)
         return got - np.log(total), z, total
@@ -319,60 +342,71 @@ class Attention:
 
         With ``scale`` (the weight of each place) also the gradients: (dh, nodes met, their
         slopes, how often).  Places are taken by the length of their ways, so that each step down
-        the trees is one block of rows.
+        the trees is one block of rows; slopes are kept by columns.
         """
         codes = self.codes
         size = codes.length(target) if scale is None else np.where(scale > 0, codes.length(target), 0)
         order = np.argsort((255 - size).astype(np.uint8), kind="stable")
         more = len(size) - np.cumsum(np.bincount(size))  # places with more than k steps
-        h, first, got = h[order], codes.first[target[order]], np.zeros(len(target), np.float32)
-        dh, keys, slopes = np.zeros_like(h), [], []
-        for k, m in enumerate(more[:-1]):
-            node, sign = codes.node[first[:m] + k], codes.sign[first[:m] + k]
-            w = self.nodes[node]
+        h, at, got = h.take(order, 0), codes.first.take(target.take(order)), np.zeros(len(target), np.float32)
+        if scale is not None:
+            scale, across, dh, done = scale.take(order), np.ascontiguousarray(h.T), np.zeros_like(h), 0
+            keys, slopes = np.empty(int(size.sum()), np.int64), np.empty((DIM + 1, int(size.sum())), np.float32)
+        for m in more[:-1]:
+            at = at[:m]
+            node, sign = codes.node.take(at), codes.sign.take(at)
+            at += 1
+            w = self.nodes.take(node, 0)
             odds = np.einsum("ij,ij->i", h[:m], w[:, :DIM])
             odds += w[:, DIM]
             odds *= -sign
-            np.exp(np.clip(odds, -60, 60, out=odds), out=odds)
-            got[:m] -= np.log1p(odds)
+            np.exp(_bounded(odds), out=odds)
+            more_odds = odds + 1
+            got[:m] -= np.log(more_odds)
             if scale is not None:
-                ds = (-sign * scale[order[:m]] * odds / (1 + odds)).astype(np.float32)[:, None]
-                dh[:m] += ds * w[:, :DIM]
-                keys.append(node)
-                slopes.append(np.concatenate([ds * h[:m], ds], axis=1))
-        out = np.empty_like(got)
-        out[order] = got
+                ds = odds
+                ds /= more_odds
+                ds *= scale[:m]
+                ds *= -sign
+                keys[done : done + m] = node
+                np.multiply(across[:, :m], ds, out=slopes[:DIM, done : done + m])
+                slopes[DIM, done : done + m] = ds
+                done += m
+                w *= ds[:, None]
+                dh[:m] += w[:, :DIM]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        out = got.take(place)
         if scale is None:
             return (out,)
-        back = np.empty_like(dh)
-        back[order] = dh
-        if not keys:
-            return out, back, np.zeros(0, np.int64), np.zeros((0, DIM + 1), np.float32), np.zeros(0, np.float32)
-        every = np.ascontiguousarray(np.concatenate(slopes).T)
-        return out, back, *summed(np.concatenate(keys), list(every), len(self.nodes))
+        return out, dh.take(place, 0), *summed(keys, list(slopes), len(self.nodes))
 
     def log_probability(self, seen: np.ndarray, fresh: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of the target id at every place."""
         h, _ = self.hidden(seen, fresh)
         target = target.ravel()
-        return self.classes(h, self.codes.which[target])[0] + self.inside(h, target)[0]
+        return self.classes(h, self.codes.which.take(target))[0] + self.inside(h, target)[0]
 
     def gradients(self, seen: np.ndarray, fresh: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray, tuple, tuple]:
         """(loss, gradient of flat, those of vectors, those of nodes); the last two as (rows met, slopes, how often)."""
         p, target, live = self.p, target.ravel(), live.ravel()
         h, (x, q, v, a) = self.hidden(seen, fresh)
-        cls = self.codes.which[target]
+        cls = self.codes.which.take(target)
         scale = (live / np.float32(max(1, int(live.sum())))).astype(np.float32)
-        got, dz, total = self.classes(h, cls)
+        got, z, total = self.classes(h, cls)
         within, dh, *nodes = self.inside(h, target, scale)
         loss = -float(((got + within) * scale).sum(dtype=np.float64))
-        dz *= (scale / total)[:, None]
-        dz[np.arange(len(dz)), cls] -= scale
-        g = {"out": h.T @ dz, "bias": np.ones(len(dz), np.float32) @ dz}
-        dh += dz @ p["out"].T
+        # The slopes of classes are z by rows of share; the narrow factors take the share.
+        share = scale / total
+        z.ravel()[np.arange(0, z.size, CLASSES) + cls] -= total
+        g = {"out": (h * share[:, None]).T @ z, "bias": share @ z}
+        dz = z @ p["out"].T
+        dz *= share[:, None]
+        dh += dz
         do = dh.reshape(-1, HALF, DIM)
-        da = do @ _windows(v).transpose(0, 2, 1)
-        da -= ((da * a) @ np.ones(WIDTH, np.float32))[:, :, None]
+        da = do @ _turned(v)
+        # What a row of da gets by its weights is what dh gets by what the attention yielded.
+        da -= np.einsum("ij,ij->i", dh, h - x[HALF:]).reshape(-1, HALF, 1)
         da *= a
         dv = _merged(a.transpose(0, 2, 1) @ do)
         dq = (da @ _windows(x)).reshape(-1, DIM)
@@ -400,9 +434,13 @@ class Steps:
         self.square += 0.01 * (flat * flat - self.square)
         self.model.flat -= rate * (self.mean / (1 - 0.9**self.n)) / (np.sqrt(self.square / (1 - 0.99**self.n)) + 1e-8)
         for table, sums, (rows, slope, often) in zip((self.model.vectors, self.model.nodes), self.sums, tables, strict=True):
-            sums[rows, 0] += often
-            sums[rows, 1] += np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
-            table[rows] -= rate * ROW_RATE * slope / (np.sqrt(sums[rows, 1:]) + 1e-8)
+            own = sums.take(rows, 0)
+            own[:, 0] += often
+            own[:, 1] += np.einsum("ij,ij->i", slope, slope) / np.float32(slope.shape[1])
+            sums[rows] = own
+            slope *= (np.float32(-rate * ROW_RATE) / (np.sqrt(own[:, 1]) + np.float32(1e-8)))[:, None]
+            slope += table.take(rows, 0)
+            table[rows] = slope
 
 
 def sequences(row: dict, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -445,7 +483,7 @@ class Halves:
         return self.seen[at], self.fresh[i:j], self.ids[at[1:]], live, at[1:]
 
 
-def score_block(model: Attention, row: dict, step: int = BATCH) -> np.ndarray:
+def score_block(model: Attention, row: dict, step: int = AT_ONCE) -> np.ndarray:
     """log10 probability of every document of a block."""
     ids, doc, first = sequences(row, model.codes.which)
     halves = Halves(ids, first, len(model.codes.which))
