@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import DATA, ODD, prose
-from tidemark.llm import bcr, chat, decontaminate, graph, lm, near, repeats, shard
+from tidemark.llm import bcr, chat, decontaminate, graph, jvm, lm, near, repeats, shard
 
 # -- components
 
@@ -607,6 +607,56 @@ def test_lm_rounds_train_on_every_token_once(monkeypatch):
     assert seen == Counter(np.concatenate([d for k, d in enumerate(docs) if k != 8]).tolist()) + Counter({300: len(docs) - 1})
 
 
+def test_lm_blocks_are_trained_and_scored_in_the_jvm_as_in_numpy(spark):
+    assert jvm.ready(spark)
+    rng, codes = np.random.default_rng(9), lm.Codes(np.random.default_rng(9).integers(0, 50, 301))
+    row = lm_row([rng.integers(0, 300, n) for n in (0, 1, 15, 16, 17, 40, 700, 3, 5000, 31)])
+    row |= {"block": 5, "train": np.arange(10).astype(np.uint8) % 4 != 3}
+    row["train"] = row["train"].tobytes()
+    model = lm_model(300, 9)
+    model = lm.Attention(codes, rng.normal(0, 0.5, len(model.flat)), model.vectors, rng.normal(0, 0.3, (len(codes.bias), lm.DIM + 1)).astype(np.float32))
+    rows = lm._beside(spark.createDataFrame([(row["block"], *(bytearray(row[k]) for k in lm._SEQ))], "block long, n binary, tokens binary, subs binary, sub_n binary, train binary"), model)
+    got = rows.select(F.call_udf(jvm.SCORE, *[F.col(c) for c in ("model", *lm._SEQ[:4])])).first()[0]
+    assert np.frombuffer(got, "<f8") / math.log(10) == pytest.approx(lm.score_block(model, row), rel=1e-5)
+    for turn in range(lm.ROUNDS):
+        args = [F.col(c) for c in ("model", *lm._SEQ, "block")] + [F.lit(x) for x in (turn, lm.ROUNDS, lm.BATCH, 0.01, lm.ROW_RATE)]
+        n, flat, tables = lm._read(rows.select(F.call_udf(jvm.TRAIN, *args)).first()[0])
+        steps = lm.Steps(lm.Attention(codes, model.flat, model.vectors, model.nodes))
+        assert n == lm.train_block(steps, row, turn, 0.01) > 1
+        assert np.allclose(flat, steps.model.flat, atol=2e-3) and np.abs(flat - model.flat).max() > 0.02
+        for mine, want in zip(tables, lm._met(steps, model), strict=True):
+            assert mine[0].tolist() == want[0].tolist() and mine[1].tolist() == want[1].tolist()
+            assert np.abs(want[2]).max() > 0.05 and np.allclose(mine[2], want[2], atol=0.02 * np.abs(want[2]).max())
+
+
+def test_lm_without_a_compiler(docs_of, monkeypatch):
+    docs = docs_of([(i, prose(i, 40)) for i in range(60)] + ODD)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"])
+    a = sorted(lm.score(docs).collect(), key=key)
+    monkeypatch.setattr(jvm, "ready", lambda spark: False)
+    b = sorted(lm.score(docs).collect(), key=key)
+    assert [tuple(r)[:6] for r in a] == [tuple(r)[:6] for r in b]
+    assert [r["score"] for r in a] == pytest.approx([r["score"] for r in b], rel=1e-3)
+
+
+def test_lm_words_of_sliced_blocks(monkeypatch):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(lm.default_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    spaced = np.zeros(max(ranks.values()) + 1, bool)
+    spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
+    texts = [(t or "").encode() for _, t in ODD] + [prose(i, 30).encode() for i in range(30)]
+    ids = list(range(len(texts)))
+    want = lm.make_block(ids, texts, enc, spaced)
+    monkeypatch.setattr(lm, "SLICE_OF_TEXT", 100)
+    assert lm.make_block(ids, texts, enc, spaced) == want
+
+
 def test_lm_is_likelier_than_the_shares_of_subwords_on_held_out_texts(spark, small):
     got = {r["doc_id"]: r for r in lm.op9_lm_scoring(spark, DATA).where("held_out").collect()}
     table = lm.blocks(small, lm.default_path())

@@ -24,6 +24,10 @@ document once.  Vectors are averaged over the blocks that met them; sums are mad
 fixed order, in groups, before they reach the driver (some 100,000 rows of DIM + 1 numbers
 for a vocabulary of 50,000, whatever the input).
 
+Training and scoring of blocks run in the executors' JVMs (``LmKernel.java``, compiled by the
+driver and sent to them); ``Attention``, ``train_block`` and ``score_block`` below are the
+same in numpy, and are what runs where the JVM has no compiler or vector module.
+
 Cases: null text is empty: one end token; rows without doc_id count as training; repeated
 rows count each time; if nothing is in the training part, counts are 0 and the model is
 uniform inside classes; an empty table gives an empty result; extra columns are left out.
@@ -42,7 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow_text import Words, texts_of
+from tidemark.llm import jvm
+from tidemark.llm.arrow_text import Words, slices, texts_of
 from tidemark.llm.store import save
 
 #: Remainder of crc32(doc_id as text) mod FOLDS that is held out.
@@ -55,7 +60,9 @@ ROUNDS, BATCH = 3, 256
 AT_ONCE = 1024
 #: Bytes of text in a block, about.
 BLOCK = 8 << 20
-GROUPS, SALTS = 64, 8
+#: Bytes of them whose words are found at once.
+SLICE_OF_TEXT = 1 << 19
+GROUPS = 64
 #: Rows with the same id and text above which they are dealt to different blocks.
 REPEATS = 1000
 #: Vectors of subwords and nodes that are averaged together, and their rate beside that of the weights.
@@ -79,12 +86,17 @@ def sub_type(size: int) -> type:
 
 def make_block(ids: list[int | None], texts: list[bytes], enc, spaced: np.ndarray) -> tuple:
     train = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS != HELD_OUT for i in ids], bool)
-    w = Words(texts, lower=True)
-    n = np.diff(w.first).astype(np.int32)
-    hashes, first, index = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    # Some texts at a time: hashes of words don't depend on what stands before them, and the memory stays small.
+    parts = [Words(texts[a:b], lower=True) for a, b in slices(texts, SLICE_OF_TEXT)]
+    n = np.concatenate([np.diff(w.first) for w in parts]).astype(np.int32)
+    hashes, first, index = np.unique(np.concatenate([w.hashes() for w in parts]), return_index=True, return_inverse=True)
     counts = np.bincount(index, np.repeat(train, n), len(hashes)).astype(np.int64)
-    low = w.buf.tobytes()
-    words = [low[a:b] for a, b in zip(w.start[first], w.end[first], strict=True)]
+    of = np.empty(len(first), object)
+    begin = np.cumsum([0, *(len(w.start) for w in parts)])
+    for w, x, y in zip(parts, begin[:-1], begin[1:], strict=True):
+        at, low = np.flatnonzero((first >= x) & (first < y)), w.buf.tobytes()
+        of[at] = [low[a:b] for a, b in zip(w.start[first[at] - x].tolist(), w.end[first[at] - x].tolist(), strict=True)]
+    words = of.tolist()
     subs = np.array(enc.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")) if words else [], np.int32)
     begin = np.flatnonzero(spaced[subs])
     sub_n = np.diff(np.append(begin, len(subs)))
@@ -160,11 +172,9 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(table: DataFrame) -> tuple[DataFrame, int]:
     """((block, known), number of distinct training words): counts of each block's words over all training documents, as i << 40 | count."""
     rows = table.select("block", "hashes", "counts").mapInArrow(_vocabulary, "block long, i long, h long, c long")
-    # Every word's rows, one for each block that has it, meet twice at most: as partial sums, and as many salted joins.
+    # A word has one row in each block, so no key has more rows than there are blocks (about 120 a GB of text): nothing to salt.
     sums = save(rows.groupBy("h").agg(F.sum("c").alias("all")))
-    salt = F.pmod("block", F.lit(SALTS))
-    salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = rows.withColumn("salt", salt).join(salted, ["h", "salt"])
+    both = rows.join(sums, "h")
     packed = F.shiftleft(F.col("i"), 40) + F.col("all")
     return save(both.groupBy("block").agg(F.collect_list(packed).alias("known"))), sums.where(F.col("all") > 0).count()
 
@@ -313,6 +323,11 @@ class Attention:
             self.p[k] = self.flat[at : at + math.prod(s)].reshape(s)
             at += math.prod(s)
 
+    def packed(self) -> bytes:
+        c = self.codes
+        sizes = np.array([len(c.which), len(c.node), len(c.bias)])
+        return b"".join(np.ascontiguousarray(x, t).tobytes() for x, t in ((sizes, "<i4"), (c.which, "<i4"), (c.first, "<i4"), (c.node, "<i4"), (c.sign, "<f4"), (self.flat, "<f4"), (self.vectors, "<f4"), (self.nodes, "<f4")))
+
     def hidden(self, seen: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Vectors (n * HALF, DIM) from which the next subword is read."""
         p = self.p
@@ -494,6 +509,14 @@ def score_block(model: Attention, row: dict, step: int = AT_ONCE) -> np.ndarray:
     return np.bincount(doc, got / math.log(10), len(first))
 
 
+def order(block: int, steps: np.ndarray) -> np.ndarray:
+    """The steps of a block as they are taken: by a hash, which ``LmKernel.mixed`` has too."""
+    x = np.uint64(block * 0x9E3779B97F4A7C15 % (1 << 64)) + steps.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return steps[np.argsort((x ^ (x >> np.uint64(31))).view(np.int64), kind="stable")]
+
+
 def train_block(steps: Steps, row: dict, turn: int, rate: float) -> int:
     """Takes the steps of this round, one in ROUNDS, over the training documents of a block; returns how many."""
     model = steps.model
@@ -505,13 +528,14 @@ def train_block(steps: Steps, row: dict, turn: int, rate: float) -> int:
     size = min(BATCH, max(16, len(halves.start) // 64))  # a small table takes as many steps as a block does at least
     mine = np.arange(0, len(halves.start), size)
     mine = mine[(np.arange(len(mine)) + row["block"]) % ROUNDS == turn]
-    for k in np.random.Generator(np.random.PCG64(row["block"])).permutation(mine):
+    for k in order(row["block"], mine // size) * size:
         seen, fresh, target, live, _ = halves.step(k, k + size)
         _, flat, *tables = model.gradients(seen, fresh, target, live)
         steps.take(flat, tuple(tables), rate)
     return len(mine)
 
 
+#: In the order of the arguments of ``LmKernel``.
 _SEQ = ("n", "tokens", "subs", "sub_n", "train")
 _SUMS = "slice long, g long, block long, at binary, sum binary, n long"
 
@@ -521,14 +545,33 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {k: batch.column(k)[i].as_py() for k in batch.schema.names}
 
 
-def _moved(model: Attention, steps: Steps, before: Attention) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(slice, rows, their moves times how often they were met, and that number) of vectors, then nodes."""
-    tops = (0, -(-len(model.vectors) // SLICE))
-    for base, now, was, sums in zip(tops, (model.vectors, model.nodes), (before.vectors, before.nodes), steps.sums, strict=True):
+def _met(steps: Steps, before: Attention) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows met, how often, their moves times that) of vectors, then nodes."""
+    for now, was, sums in zip((steps.model.vectors, steps.model.nodes), (before.vectors, before.nodes), steps.sums, strict=True):
         at = np.flatnonzero(sums[:, 0])
-        for part in np.split(at, np.flatnonzero(np.diff(at // SLICE)) + 1) if len(at) else []:
-            often = sums[part, :1]
-            yield 1 + base + int(part[0]) // SLICE, part.astype(np.int32).tobytes(), np.concatenate([(now[part] - was[part]) * often, often], axis=1)
+        yield at, sums[at, 0], (now[at] - was[at]) * sums[at, :1]
+
+
+def _read(out: bytes) -> tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """What ``LmKernel.train`` returns: (steps, weights, the same of vectors and nodes as _met)."""
+    at = 4 + 4 * sum(math.prod(s) for s in Attention.SHAPES.values())
+    n, flat, tables = int(np.frombuffer(out, "<i4", 1)[0]), np.frombuffer(out[4:at], "<f4"), []
+    for width in (DIM, DIM + 1):
+        met = int(np.frombuffer(out, "<i4", 1, at)[0])
+        rows, often, moves = np.frombuffer(out, "<i4", met, at + 4), np.frombuffer(out, "<f4", met, at + 4 + 4 * met), np.frombuffer(out, "<f4", met * width, at + 4 + 8 * met)
+        tables.append((rows, often, moves.reshape(met, width)))
+        at += 4 + 4 * met * (2 + width)
+    return n, flat, tables
+
+
+def _moved(block: int, n: int, flat: np.ndarray, tables, n_vectors: int) -> pa.RecordBatch:
+    """Rows of _SUMS: slice 0 has the weights, the others the moves of SLICE vectors, then nodes, and how often they were met."""
+    out = [(0, np.zeros(1, np.int32).tobytes(), (flat.astype(np.float64) * n).tobytes(), n)]
+    for base, (at, often, moves) in zip((0, -(-n_vectors // SLICE)), tables, strict=True):
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // SLICE)) + 1) if len(at) else []:
+            out.append((1 + base + int(at[part[0]]) // SLICE, at[part].astype(np.int32).tobytes(), np.concatenate([moves[part], often[part, None]], axis=1).astype(np.float32).tobytes(), 0))
+    columns = [pa.array([k for k, *_ in out]), pa.array([block % GROUPS] * len(out)), pa.array([block] * len(out)), pa.array([a for _, a, *_ in out], pa.binary()), pa.array([x for *_, x, _ in out], pa.binary()), pa.array([w for *_, w in out])]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "g", "block", "at", "sum", "n"])
 
 
 def _add(pdf):
@@ -542,27 +585,44 @@ def _add(pdf):
     return pdf.iloc[:1].assign(at=[at[begin].tobytes()], sum=[np.add.reduceat(values, begin, axis=0).tobytes()], n=int(pdf["n"].sum()))
 
 
+def _beside(rows: DataFrame, model: Attention) -> DataFrame:
+    """Rows with the bytes of the model, as ``LmKernel`` reads them; their number is bounded by the vocabulary."""
+    spark = rows.sparkSession
+    return rows.crossJoin(F.broadcast(spark.createDataFrame([(bytearray(model.packed()),)], "model binary")))
+
+
 def fit(table: DataFrame, codes: Codes) -> Attention:
     """Parameter averaging over all blocks."""
     model = Attention(codes)
     spark = table.sparkSession
+    ready = jvm.ready(spark)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((codes, model.flat, model.vectors, model.nodes))
-
-        def run(batches, shared=shared, turn=turn):
-            start = Attention(*shared.value)
-            for batch in batches:
-                for row in _rows(batch):
-                    own = Attention(*shared.value)
-                    steps = Steps(own)
-                    n = train_block(steps, row, turn, 0.02 / (turn + 1))
-                    if not n:
-                        continue
-                    out = [(0, np.zeros(1, np.int32).tobytes(), own.flat.astype(np.float64) * n, n), *((k, at, x, 0) for k, at, x in _moved(own, steps, start))]
-                    columns = [pa.array([k for k, *_ in out]), pa.array([row["block"] % GROUPS] * len(out)), pa.array([row["block"]] * len(out)), pa.array([a for _, a, *_ in out], pa.binary()), pa.array([x.tobytes() for *_, x, _ in out], pa.binary()), pa.array([w for *_, w in out])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["slice", "g", "block", "at", "sum", "n"])
-
-        got = table.select("block", *_SEQ).mapInArrow(run, _SUMS).groupBy("slice", "g").applyInPandas(_add, _SUMS).groupBy("slice").applyInPandas(_add, _SUMS).collect()
+        rate, top = 0.02 / (turn + 1), len(model.vectors)
+        if ready:
+
+            def parts(batches, top=top):
+                for batch in batches:
+                    for row in _rows(batch):
+                        n, flat, tables = _read(row["out"])
+                        if n:
+                            yield _moved(row["block"], n, flat, tables, top)
+
+            args = [F.col(c) for c in ("model", *_SEQ, "block")] + [F.lit(x) for x in (turn, ROUNDS, BATCH, rate, ROW_RATE)]
+            moved = _beside(table.select("block", *_SEQ), model).select("block", F.call_udf(jvm.TRAIN, *args).alias("out")).mapInArrow(parts, _SUMS)
+        else:
+            shared = spark.sparkContext.broadcast((codes, model.flat, model.vectors, model.nodes))
+
+            def run(batches, shared=shared, turn=turn, rate=rate, top=top):
+                start = Attention(*shared.value)
+                for batch in batches:
+                    for row in _rows(batch):
+                        steps = Steps(Attention(*shared.value))
+                        n = train_block(steps, row, turn, rate)
+                        if n:
+                            yield _moved(row["block"], n, steps.model.flat, list(_met(steps, start)), top)
+
+            moved = table.select("block", *_SEQ).mapInArrow(run, _SUMS)
+        got = moved.groupBy("slice", "g").applyInPandas(_add, _SUMS).groupBy("slice").applyInPandas(_add, _SUMS).collect()
         tops = -(-len(model.vectors) // SLICE)
         for r in sorted(got, key=lambda r: r["slice"]):
             if r["slice"] == 0:
@@ -587,14 +647,15 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     n_docs_train = int(counts[-1])
     distinct += n_docs_train > 0
     model = fit(table, Codes(counts))
-    shared = spark.sparkContext.broadcast((model.codes, model.flat, model.vectors, model.nodes))
+    ready = jvm.ready(spark)
+    shared = None if ready else spark.sparkContext.broadcast((model.codes, model.flat, model.vectors, model.nodes))
 
     def run(batches):
-        model = Attention(*shared.value)
+        model = None if ready else Attention(*shared.value)
         floor = math.log10(n_train + distinct + 1)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("doc_id", *_SEQ)}
+                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names if k != "known"}
                 packed = batch.column("known")[i]
                 n = np.frombuffer(row["n"], np.int32)
                 tokens = np.frombuffer(row["tokens"], np.int32)
@@ -607,10 +668,14 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                 base = np.bincount(doc, np.log10(c + 1), len(n)) + math.log10(n_docs_train + 1) - (n + 1) * floor
                 n_known = np.bincount(doc, c > 0, len(n)).astype(np.int64) + (n_docs_train > 0)
                 train = np.frombuffer(row["train"], bool)
-                columns = [pa.array(row["doc_id"], pa.int64()), pa.array(~train), pa.array(n.astype(np.int64) + 1), pa.array(n_known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(score_block(model, row))]
+                score = np.frombuffer(row["scores"], "<f8") / math.log(10) if ready else score_block(model, row)
+                columns = [pa.array(row["doc_id"], pa.int64()), pa.array(~train), pa.array(n.astype(np.int64) + 1), pa.array(n_known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     both = table.select("block", "doc_id", *_SEQ).join(known.select("block", "known"), "block", "left").drop("block")
+    if ready:
+        scored = F.call_udf(jvm.SCORE, *[F.col(c) for c in ("model", *_SEQ[:4])])
+        both = _beside(both, model).select("doc_id", "n", "tokens", "sub_n", "train", "known", scored.alias("scores"))
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
